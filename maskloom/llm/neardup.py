@@ -7,6 +7,7 @@ function. Equal sets form a class; classes are linked where the Jaccard index of
 2. Classes: documents with equal digests, led by their smallest doc_id. Copies are never paired.
 3. Candidates come from inverted lists over retained values. A value retained by more than `HOT` classes is hot.
    - Every class is listed under its cold values: such lists have HOT members at most, so the pairs grow with the input.
+     Pairs that overlap in MEET values are candidates.
    - Classes with many hot values among their smallest (large groups of near copies; short texts around a passage that many
      documents share) are also listed under pairs of minima of sketch bins. Long lists of those are first resolved around
      a hub: the member nearest to the others is compared with all; then only members that are still in different
@@ -15,8 +16,8 @@ function. Equal sets form a class; classes are linked where the Jaccard index of
 5. The remaining pairs are verified on their full sets, recomputed from the two texts.
 6. Linked classes meet in components by minimum labels with pointer jumping, all in DataFrames.
 
-With 24 cold values kept, a pair at the threshold of 0.85 shares none with a probability below 1e-6; below that many
-cold values the second kind of list applies (16 keys, each shared with a probability over 0.7: miss below 1e-8).
+Of 24 retained values at least 16 are cold, and a pair at the threshold of 0.85 shares fewer than MEET of them with a
+probability of about 1e-6 at worst; with fewer cold values the second kind of list applies (16 keys, each shared with a probability over 0.7: miss below 1e-8).
 
 Defined results: null, empty and blank texts have an empty set, link with nothing and stay; repeated rows and equal
 texts fall in one class; rows with a null doc_id are returned with a null component_id and kept = true, unlinked;
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, ascii_lower, chunks, hash64, mix64, word_codes
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-CHUNK, K, PREFIX, HOT, BINS = 2_000_000, 64, 24, 48, 32
+CHUNK, K, PREFIX, HOT, MEET, BINS = 2_000_000, 64, 24, 48, 3, 32
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,6 +119,25 @@ def _verifier(size: int, percent: int):
     return run
 
 
+def _only(texts: DataFrame, ids: DataFrame, most_bits: int = 26) -> DataFrame:
+    """(rep, text) of the texts whose doc_id is, or seems to be, among ids (rep): a Bloom filter of bounded size (8 MB) keeps
+    the other texts out of the shuffle. An exact join follows; beyond the bound it only lets more through."""
+    n = ids.count()
+    bits = min(most_bits, max(10, (16 * n).bit_length()))
+    h = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
+    got = ids.select(h(F.col("rep")).alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("m")).toPandas()
+    mask = np.zeros(1 << (bits - 6), np.int64)
+    mask[got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("h").to_numpy()
+            keep = (mask[at >> 6] >> (at & 63)) & 1
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("text")], names=["rep", "text"]).filter(pa.array(keep.astype(bool)))
+
+    return texts.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text", h(F.col("doc_id")).alias("h")).mapInArrow(run, "rep long, text string")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """pairs (a, b) of class leaders whose full sets reach the threshold."""
     with_b = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("b_text")), "b")
@@ -164,14 +184,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
 
     cold = marked.where(~F.col("hot")).groupBy("v").agg(F.collect_list("rep").alias("reps"))  # HOT members at most
     paired = lambda x: x.where(F.size("reps") > 1).select(F.explode("reps").alias("a"), "reps").select("a", F.explode(F.filter("reps", lambda x: x > F.col("a"))).alias("b")).distinct()
-    pairs = paired(cold)
+    # a pair at the threshold shares most cold values of its ends; chance pairs seldom share MEET
+    pairs = cold.where(F.size("reps") > 1).select(F.explode("reps").alias("a"), "reps").select("a", F.explode(F.filter("reps", lambda x: x > F.col("a"))).alias("b"))
+    pairs = pairs.groupBy("a", "b").count().where(F.col("count") >= MEET).select("a", "b")
     # sizes are compared before sketches are fetched: most chance pairs end there
     sizes = info.select("rep", "n")
     pairs = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
     pairs = pairs.join(a, "a").join(b, "b").where(alike).select("a", "b")
 
     # classes with many hot values: lists under pairs of minima of sketch bins
-    leader_texts = lambda e: texts.select(F.col("doc_id").alias("rep"), "text").join(e, "rep", "left_semi").dropDuplicates(["rep"])
+    leader_texts = lambda e: _only(texts, e).join(e, "rep", "left_semi").dropDuplicates(["rep"])
     crowded = ws.cut(marked.groupBy("rep").agg(F.sum(F.col("hot").cast("int")).alias("hot"), F.count("*").alias("all")).where("3 * hot > all").select("rep"), "crowded")
     full = ws.cut(leader_texts(crowded).mapInArrow(_exploder(size), "rep long, v long"), "full")
     # Two crowded sets either share a cold value of theirs, or no more than their hot values. central: how well a set is known.
@@ -195,7 +217,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
 
     first = ws.cut(pairs.union(near).union(hub_pairs).distinct(), "pairs")
     ends = first.select(F.col("a").alias("rep")).union(first.select("b")).distinct()
-    links = ws.cut(_verified(first, leader_texts(ends), size, percent), "links")
+    links = ws.cut(_verified(first, ws.cut(leader_texts(ends), "ends"), size, percent), "links")
+    ws.drop("ends")
     labels = components(ws, links)
 
     if not long_lists.isEmpty():

@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 
 from .common import Workspace, chunks, cut_of_largest
 
-CHUNK, BITS, ORDERS = 4_000_000, 17, (3, 4)
+CHUNK, BITS, ORDERS, WINDOW, LENGTH = 4_000_000, 15, (3, 4), 16, 1000
+BUCKETS = (1 << BITS) + 2  # two more: windows of WINDOW bytes that are new in their text, and repeated ones
 
 
 def _grams(b: pa.RecordBatch, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -47,31 +48,49 @@ def _grams(b: pa.RecordBatch, text: str = "text") -> tuple[np.ndarray, np.ndarra
             h = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
         out.append(h[inside].astype(np.int64))
         docs.append(document[n - 1 :][inside])
+    if len(raw) >= WINDOW:
+        with np.errstate(over="ignore"):
+            code = np.zeros(len(raw) - WINDOW + 1, np.uint64)
+            for j in range(WINDOW):
+                code = (code ^ raw[j : len(raw) - WINDOW + 1 + j]) * np.uint64(0x100000001B3)
+            inside = document[WINDOW - 1 :] == document[: len(raw) - WINDOW + 1]
+            where = document[WINDOW - 1 :][inside]
+            code = (code[inside] + where.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        repeated = np.ones(len(code), np.int64)
+        repeated[np.unique(code, return_index=True)[1]] = 0
+        out.append((1 << BITS) + repeated)
+        docs.append(where)
     return (np.concatenate(out), np.concatenate(docs)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << BITS, np.int64)
+    total = np.zeros(BUCKETS, np.int64)
     for b in chunks(batches, CHUNK):
-        total += np.bincount(_grams(b)[0], minlength=1 << BITS)
+        total += np.bincount(_grams(b)[0], minlength=BUCKETS)
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
 
 
 def gram_counts(texts: DataFrame) -> np.ndarray:
-    """Counts of the 2^17 buckets, all that the driver ever holds of a corpus."""
+    """Counts by bucket, all that the driver ever holds of a corpus."""
     got = texts.select(F.col("text").cast("string")).mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << BITS)
+    out = np.zeros(BUCKETS)
     out[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(float)
     return out
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float = 1.0) -> np.ndarray:
-    return np.log((target + smooth) / (target.sum() + smooth * len(target))) - np.log((raw + smooth) / (raw.sum() + smooth * len(raw)))
+    """Of the n-grams' model, and of the model of repetition."""
+    out = np.empty(len(target))
+    for part in (slice(0, 1 << BITS), slice(1 << BITS, None)):
+        t, r = target[part] + smooth, raw[part] + smooth
+        out[part] = np.log(t / t.sum()) - np.log(r / r.sum())
+    return out
 
 
 def with_weight(docs: DataFrame, ratio: np.ndarray, name: str) -> DataFrame:
-    """docs and a column `name`: the sum of the log ratios of a text's n-grams."""
+    """docs and a column `name`: the sum of the log ratios of a text's n-grams, of LENGTH average ones where it has
+    more: else a slightly uneven sample of languages would decide over long texts."""
     ratio = ratio.astype(np.float32)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
@@ -79,6 +98,7 @@ def with_weight(docs: DataFrame, ratio: np.ndarray, name: str) -> DataFrame:
         for b in chunks(batches, CHUNK):
             bucket, document = _grams(b)
             w = np.bincount(document, weights=ratio[bucket], minlength=b.num_rows)
+            w *= np.minimum(1, LENGTH / np.maximum(np.bincount(document, minlength=b.num_rows), 1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w, pa.float64())], schema=b.schema.append(pa.field(name, pa.float64())))
 
     return docs.mapInArrow(run, schema)

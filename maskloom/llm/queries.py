@@ -3,23 +3,65 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def op1_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     from .secrets import scan_secrets
 
-    return scan_secrets(_docs(spark, d))
+    return scan_secrets(_table(spark, d, "documents"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     from .neardup import near_duplicates
 
-    return near_duplicates(_docs(spark, d))
+    return near_duplicates(_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_minhash_near_dedup)}
+def op3_simhash(spark: SparkSession, d: str) -> DataFrame:
+    from .simhash import edited_fingerprints
+
+    return edited_fingerprints(_table(spark, d, "documents"))
+
+
+def op4_lm_score(spark: SparkSession, d: str) -> DataFrame:
+    from .lm import score_texts
+
+    return score_texts(_table(spark, d, "documents"))
+
+
+def op5_source_mixing(spark: SparkSession, d: str) -> DataFrame:
+    """The synthetic tables have no domain: sources fall in four by their number."""
+    from .mixing import mix, source_domain
+
+    mixed = mix(_table(spark, d, "documents").select("doc_id", "text", "lang", "source"), source_domain(F.col("source")), fraction=0.6, epochs=2)
+    return mixed.select("doc_id", "lang", "source", "n_tokens", "copies")
+
+
+def op6_quality_resampling(spark: SparkSession, d: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secret_scan, op2_minhash_near_dedup, op3_simhash, op4_lm_score, op5_source_mixing, op6_quality_resampling, op9_benchmark_decontamination, op10_toxicity)
+}
 ORACLES: dict[str, str] = {}
