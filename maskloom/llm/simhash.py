@@ -83,8 +83,8 @@ def with_next(docs: DataFrame, per_bucket: int = 2048, most_buckets: int = 8192)
     def bucket(k: Column) -> Column:  # how many bounds are <= k, by halving
         if array is None:
             return F.lit(0)
-        probe = lambda pos, j: F.when((pos + F.shiftleft(F.lit(1), j) <= len(bounds)) & (F.try_element_at(array, pos + F.shiftleft(F.lit(1), j)) <= k), pos + F.shiftleft(F.lit(1), j)).otherwise(pos)
-        return F.aggregate(F.sequence(F.lit(steps - 1), F.lit(0)), F.lit(0), lambda pos, j: probe(pos, j))
+        probe = lambda pos, by: F.when((pos + by <= len(bounds)) & (F.try_element_at(array, pos + by) <= k), pos + by).otherwise(pos)
+        return F.aggregate(F.array(*[F.lit(1 << j) for j in range(steps - 1, -1, -1)]), F.lit(0), probe)
 
     firsts = sorted((r[0], r[1]) for r in ids.groupBy(bucket(F.col("k")).alias("b")).agg(F.min("k")).collect())
     # the first id of a bucket, and the bucket before it; the very first follows the last
