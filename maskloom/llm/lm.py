@@ -36,10 +36,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, ascii_lower, chunks, hash64, mix64, word_codes
+from .common import Workspace, ascii_lower, chunks, hash64, mix64
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-BLOCK = 8_000_000
+BLOCK = 6_000_000
 END = "\n"  # no word can be this
 _END_HASH = hash64([END])[0]
 STEP = 4  # cells per octave of an estimate
@@ -69,33 +69,46 @@ def _blocks(parts: int, fold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ctx, serial, ids, texts, size = TaskContext.get(), 0, [], [], 0
+        ctx, serial = TaskContext.get(), 0
+        ids: list[int | None] = []
+        parts_of: list[np.ndarray] = []
+        known, size = _Codes(), 0
 
         def block() -> pa.RecordBatch:
             nonlocal serial
-            codes, lens, uniq = word_codes(texts)
-            order = np.argsort(-np.bincount(codes, minlength=len(uniq)), kind="stable")  # frequent words get small codes
+            codes, lens = np.concatenate(parts_of), np.fromiter(map(len, parts_of), np.int64, len(parts_of))
+            order = np.argsort(-np.bincount(codes, minlength=len(known)), kind="stable")  # frequent words get small codes
             rank = np.empty_like(order)
             rank[order] = np.arange(len(order))
-            words = hash64([uniq[i] for i in order.tolist()])
+            words = hash64(known)[order]
             serial += 1
             row = {"block": [ctx.partitionId() * 1_000_000 + serial], "ids": [ids], "held": [[held_out(i, parts, fold) for i in ids]], "lens": [pack(lens.astype(np.uint32))], "words": [words.tobytes()], "codes": [pack(rank[codes].astype(np.uint32))]}
             return pa.RecordBatch.from_pydict(row, schema=_BLOCKS)
 
-        for b in chunks(batches, BLOCK // 4):
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+        for b in chunks(batches, BLOCK // 8):
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                t = t.as_py()
+                words = [*WORDS.findall(ascii_lower(t)), END] if t else [END]
                 ids.append(i)
-                texts.append([*WORDS.findall(ascii_lower(t)), END] if t else [END])
+                parts_of.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
                 size += len(t or "") + 1
                 if size >= BLOCK:
                     yield block()
-                    ids, texts, size = [], [], 0
+                    ids, parts_of, known, size = [], [], _Codes(), 0
         if ids:
             yield block()
 
     return run
 
 
+class _Codes(dict):
+    """Numbers words as they come; only distinct ones stay in memory."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        return code
+
+
 _BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lens", pa.binary()), ("words", pa.binary()), ("codes", pa.binary())])
 _BLOCKS_DDL = "block long, ids array<long>, held array<boolean>, lens binary, words binary, codes binary"
 
