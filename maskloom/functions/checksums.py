@@ -194,7 +194,7 @@ def _is_digits(s: Column, n: int) -> Column:
 
 
 def luhn_col(s: Column) -> Column:
-    return F.luhn_check(s)
+    return F.call_function("luhn_check", s)
 
 
 def au_abn_col(s: Column) -> Column:
@@ -218,7 +218,7 @@ def uk_nhs_col(s: Column) -> Column:
 
 
 def us_npi_col(s: Column) -> Column:
-    return _is_digits(s, 10) & F.luhn_check(F.concat(F.lit("80840"), s))
+    return _is_digits(s, 10) & F.call_function("luhn_check", F.concat(F.lit("80840"), s))
 
 
 def kr_rrn_col(s: Column) -> Column:

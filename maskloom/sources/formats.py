@@ -30,7 +30,9 @@ def sanitize_utf8(raw: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """One JSON value and nothing after it (the parser alone stops at the first value)."""
+    v = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.coalesce(F.try_variant_get(v, "$[0]", "variant").isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull(), F.lit(False))
 
 
 def resolve_auto(text: Column) -> Column:
