@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import Workspace, chunks, cut_of_largest
 
-CHUNK, BITS, ORDERS, WINDOW, LENGTH = 4_000_000, 15, (3, 4), 16, 1000
+CHUNK, BITS, ORDERS, WINDOW, LENGTH = 500_000, 15, (3, 4), 16, 1000
 BUCKETS = (1 << BITS) + 2  # two more: windows of WINDOW bytes that are new in their text, and repeated ones
 
 
