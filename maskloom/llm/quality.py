@@ -26,47 +26,66 @@ from pyspark.sql import types as T
 
 from .common import Workspace, chunks, cut_of_largest
 
-CHUNK, BITS, ORDERS, WINDOW, LENGTH = 500_000, 15, (3, 4), 16, 1000
+CHUNK, BITS, WINDOW, LENGTH = 500_000, 15, 16, 1000
 BUCKETS = (1 << BITS) + 2  # two more: windows of WINDOW bytes that are new in their text, and repeated ones
 
 
-def _grams(b: pa.RecordBatch, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each n-gram, its document), over the UTF-8 bytes of a slice's texts."""
-    col = b.column(b.schema.get_field_index(text)).cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
-    raw = np.frombuffer(col.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
-    document = np.repeat(np.arange(len(col)), np.diff(offsets))
-    out, docs = [], []
-    for n in ORDERS:
-        if len(raw) < n:
-            continue
-        code = np.full(len(raw) - n + 1, n, np.uint64)
-        for j in range(n):
-            code = code << np.uint64(8) | raw[j : len(raw) - n + 1 + j]
-        inside = document[n - 1 :] == document[: len(raw) - n + 1]
-        with np.errstate(over="ignore"):
-            h = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
-        out.append(h[inside].astype(np.int64))
-        docs.append(document[n - 1 :][inside])
-    if len(raw) >= WINDOW:
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... end - 1 of each range, end to end."""
+    n = np.maximum(ends - starts, 0)
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class _Events:
+    """What the models count in a slice of texts: buckets of the n-grams that start at each byte, by order, and for each
+    window of WINDOW bytes at the start of a word its document and whether it repeats an earlier one of its text."""
+
+    def __init__(self, b: pa.RecordBatch):
+        col = b.column(b.schema.get_field_index("text")).cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+        raw = np.frombuffer(col.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        self.at = offsets - offsets[0]
+        r = np.concatenate([raw, np.zeros(WINDOW, np.uint8)]).astype(np.uint32)  # every byte starts a gram; ends are cut off below
+        two = (r[:-1] << 8) | r[1:]
+        three, four = (two[:-1] << 8) | r[2:], (two[:-2] << 16) | two[2:]
         with np.errstate(over="ignore"):
-            code = np.zeros(len(raw) - WINDOW + 1, np.uint64)
-            for j in range(WINDOW):
-                code = (code ^ raw[j : len(raw) - WINDOW + 1 + j]) * np.uint64(0x100000001B3)
-            inside = document[WINDOW - 1 :] == document[: len(raw) - WINDOW + 1]
-            where = document[WINDOW - 1 :][inside]
-            code = (code[inside] + where.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        repeated = np.ones(len(code), np.int64)
-        repeated[np.unique(code, return_index=True)[1]] = 0
-        out.append((1 << BITS) + repeated)
-        docs.append(where)
-    return (np.concatenate(out), np.concatenate(docs)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
+            self.grams = {3: ((three * np.uint32(0x9E3779B1) + np.uint32(0x7F4A7C15)) >> np.uint32(32 - BITS)).astype(np.intp), 4: ((four * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)).astype(np.intp)}
+            starts = np.unique(np.concatenate([np.flatnonzero((raw == 32) | (raw == 10)) + 1, self.at[:-1]]))
+            self.document = np.searchsorted(self.at, starts, "right") - 1
+            fits = (starts + WINDOW <= self.at[np.minimum(self.document + 1, len(col))]) & (self.document < len(col))
+            starts, self.document = starts[fits], self.document[fits]
+            eight = lambda p: (four[p].astype(np.uint64) << np.uint64(32)) | four[p + 4]
+            code = (eight(starts) * np.uint64(0x9E3779B97F4A7C15)) ^ (eight(starts + 8) + self.document.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+        self.repeated = np.ones(len(code), bool)
+        self.repeated[np.unique(code, return_index=True)[1]] = False
+
+    def counts(self) -> np.ndarray:
+        out = np.zeros(BUCKETS, np.int64)
+        for n, h in self.grams.items():
+            out[: 1 << BITS] += np.bincount(h[: self.at[-1]], minlength=1 << BITS)
+            crossing = _ranges(np.maximum(self.at[1:] - n + 1, self.at[:-1]), self.at[1:])  # those that leave their text
+            out[: 1 << BITS] -= np.bincount(h[crossing], minlength=1 << BITS)
+        again = int(self.repeated.sum())
+        out[1 << BITS :] += (len(self.repeated) - again, again)
+        return out
+
+    def sums(self, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By document: the sum of the events' ratios, and how many events it has."""
+        rows = len(self.at) - 1
+        total = np.bincount(self.document, weights=ratio[(1 << BITS) + self.repeated.astype(np.intp)], minlength=rows)
+        events = np.bincount(self.document, minlength=rows)
+        for n, h in self.grams.items():
+            running = np.concatenate([[0.0], np.cumsum(ratio[h[: self.at[-1]]], dtype=np.float64)])
+            ends = np.maximum(self.at[1:] - n + 1, self.at[:-1])
+            total = total + running[ends] - running[self.at[:-1]]
+            events = events + ends - self.at[:-1]
+        return total, events
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
     for b in chunks(batches, CHUNK):
-        total += np.bincount(_grams(b)[0], minlength=BUCKETS)
+        total += _Events(b).counts()
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int64()), "n": pa.array(total[used], pa.int64())})
 
@@ -96,9 +115,8 @@ def with_weight(docs: DataFrame, ratio: np.ndarray, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, CHUNK):
-            bucket, document = _grams(b)
-            w = np.bincount(document, weights=ratio[bucket], minlength=b.num_rows)
-            w *= np.minimum(1, LENGTH / np.maximum(np.bincount(document, minlength=b.num_rows), 1))
+            w, n = _Events(b).sums(ratio)
+            w *= np.minimum(1, LENGTH / np.maximum(n, 1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w, pa.float64())], schema=b.schema.append(pa.field(name, pa.float64())))
 
     return docs.mapInArrow(run, schema)
