@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -61,6 +61,8 @@ def share(budget: float, children: list[Node]) -> None:
 
 def budgets(leaves: list[tuple[tuple[str | None, ...], int]], total: float, weights: dict[tuple[str | None, ...], float], alpha: float, epochs: int) -> dict[tuple[str | None, ...], float]:
     """Budget of each leaf. weights: of any node by its path; the others weigh their tokens to the power alpha."""
+    if not leaves:
+        return {}
     root, tokens = Node(1.0), {}
     for path, n in leaves:
         for i in range(len(path) + 1):
@@ -116,10 +118,8 @@ def mix(docs: DataFrame, domain: Column | None = None, fraction: float = 0.8, to
 
     # one row a leaf, a bounded table; null-safe keys
     plan = spark.createDataFrame([(*p, full[p], float(rest[p])) for p in size] or [(None, None, None, 0, 0.0)], "domain string, lang string, source string, full int, rest double")
-    same = lambda a, b: a["domain"].eqNullSafe(b["domain"]) & a["lang"].eqNullSafe(b["lang"]) & a["source"].eqNullSafe(b["source"])
     order = lambda i, k: F.shiftrightunsigned(F.xxhash64(F.lit(seed), k.cast("int"), i), 1)  # noqa: E731  63 bits
     # the value of the hash at which each leaf's prefix ends: ranges of it are narrowed, 12 bits at a time
-    state = plan.select(*path, "full", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(False).alias("whole"))
     keyed = slim.alias("s").join(F.broadcast(plan).alias("p"), (F.col("s.domain").eqNullSafe(F.col("p.domain"))) & F.col("s.lang").eqNullSafe(F.col("p.lang")) & F.col("s.source").eqNullSafe(F.col("p.source")))
     keyed = ws.cut(keyed.select("s.domain", "s.lang", "s.source", "n", order(F.col("id"), F.col("full")).alias("h")), "keyed")
     ends: dict[tuple, tuple[int, float]] = {p: (0, rest[p]) for p in size}  # hash below which all are taken, budget left in the open range
@@ -131,8 +131,6 @@ def mix(docs: DataFrame, domain: Column | None = None, fraction: float = 0.8, to
         inside = (F.col("h") >= F.col("low")) & (F.shiftrightunsigned(F.col("h") - F.col("low"), low + width) == 0) if low + width < 63 else F.col("h") >= 0
         sums = x.where(inside).groupBy("k.domain", "k.lang", "k.source", "low", "left", F.shiftrightunsigned(F.col("h") - F.col("low"), low).cast("int").alias("r")).agg(F.sum("n").alias("n"))
         # within a leaf at most 2^12 ranges: running sums stay small
-        from pyspark.sql import Window
-
         w = Window.partitionBy(*path).orderBy("r")
         run = sums.withColumn("upto", F.sum("n").over(w)).groupBy(*path, "low", "left").agg(F.min(F.when(F.col("upto") > F.col("left"), F.col("r"))).alias("r"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))), F.lit(0)).alias("taken"))
         new, moved = {}, False

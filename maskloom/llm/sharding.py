@@ -53,27 +53,27 @@ def _positions(size: Column, lang: Column, source: Column, tie: Column) -> Colum
 
 def _groups(docs: DataFrame) -> DataFrame:
     """For each text that occurs more than once: key, first document's lang, source, bytes of all."""
-    rows = docs.select(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("g_key"), F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), _size(F.col("text")).alias("size"))
-    met = rows.groupBy("g_key").agg(F.min(F.struct("id", "lang", "source")).alias("first"), F.sum("size").alias("bytes"), F.count("*").alias("n")).where("n > 1")
-    return met.select("g_key", F.col("first.lang").alias("g_lang"), F.col("first.source").alias("g_source"), F.col("bytes").alias("g_bytes"))
+    rows = docs.select(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("_kd_g_key"), F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), _size(F.col("text")).alias("size"))
+    met = rows.groupBy("_kd_g_key").agg(F.min(F.struct("id", "lang", "source")).alias("first"), F.sum("size").alias("bytes"), F.count("*").alias("n")).where("n > 1")
+    return met.select("_kd_g_key", F.col("first.lang").alias("_kd_g_lang"), F.col("first.source").alias("_kd_g_source"), F.col("bytes").alias("_kd_g_bytes"))
 
 
 def _placed(docs: DataFrame, groups: DataFrame, heaviest: int, name: str) -> DataFrame:
     """docs and a struct `name`: size, at (positions on the axes)."""
     key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    x = docs.join(groups, key == F.col("g_key"), "left")
-    grouped = F.col("g_key").isNotNull()
-    tie = F.when(grouped & (F.col("g_bytes") > heaviest), F.xxhash64(key, F.col("doc_id").cast("long"))).otherwise(F.xxhash64(key))
-    at = _positions(_size(F.col("text")), F.when(grouped, F.col("g_lang")).otherwise(F.col("lang").cast("string")), F.when(grouped, F.col("g_source")).otherwise(F.col("source").cast("string")), tie)
-    return x.withColumn(name, F.struct(_size(F.col("text")).alias("size"), at.alias("at"))).drop("g_key", "g_lang", "g_source", "g_bytes")
+    x = docs.join(groups, key == F.col("_kd_g_key"), "left")
+    grouped = F.col("_kd_g_key").isNotNull()
+    tie = F.when(grouped & (F.col("_kd_g_bytes") > heaviest), F.xxhash64(key, F.col("doc_id").cast("long"))).otherwise(F.xxhash64(key))
+    at = _positions(_size(F.col("text")), F.when(grouped, F.col("_kd_g_lang")).otherwise(F.col("lang").cast("string")), F.when(grouped, F.col("_kd_g_source")).otherwise(F.col("source").cast("string")), tie)
+    return x.withColumn(name, F.struct(_size(F.col("text")).alias("size"), at.alias("at"))).drop("_kd_g_key", "_kd_g_lang", "_kd_g_source", "_kd_g_bytes")
 
 
 def _descend(rows: DataFrame, level: list[tuple[int, int, int, int, int]], at: Column, node: str) -> DataFrame:
     spark = rows.sparkSession
-    cuts = spark.createDataFrame(level, "_c_node int, _c_axis int, _c_cut long, _c_left int, _c_right int")
-    x = rows.join(F.broadcast(cuts), F.col(node) == F.col("_c_node"), "left")
-    to = F.when(F.col("_c_node").isNull(), F.col(node)).when(F.element_at(at, F.col("_c_axis") + 1) < F.col("_c_cut"), F.col("_c_left")).otherwise(F.col("_c_right"))
-    return x.withColumn(node, to).drop("_c_node", "_c_axis", "_c_cut", "_c_left", "_c_right")
+    cuts = spark.createDataFrame(level, "_kd_c_node int, _kd_c_axis int, _kd_c_cut long, _kd_c_left int, _kd_c_right int")
+    x = rows.join(F.broadcast(cuts), F.col(node) == F.col("_kd_c_node"), "left")
+    to = F.when(F.col("_kd_c_node").isNull(), F.col(node)).when(F.element_at(at, F.col("_kd_c_axis") + 1) < F.col("_kd_c_cut"), F.col("_kd_c_left")).otherwise(F.col("_kd_c_right"))
+    return x.withColumn(node, to).drop("_kd_c_node", "_kd_c_axis", "_kd_c_cut", "_kd_c_left", "_kd_c_right")
 
 
 def _medians(rows: DataFrame, goals: dict[int, tuple[int, float]]) -> dict[int, int]:
@@ -162,11 +162,11 @@ def shard_documents(docs: DataFrame, shards: int | None = 8, target_bytes: int |
     x = x.drop(*[c for c in names if c in docs.columns]).withColumn(shard, F.element_at(shard_of, F.col(node)))
     buckets = max(1, n // shards // per_bucket)
     x = x.withColumn(bucket, F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(buckets)).cast("int"))
-    counts = ws.cut(x.groupBy(shard, bucket).agg(F.count("*").alias("n")), "counts")  # shards * buckets rows
-    start = counts.withColumn("start", F.sum("n").over(Window.partitionBy(shard).orderBy(bucket)) - F.col("n")).select(F.col(shard).alias("_s_shard"), F.col(bucket).alias("_s_bucket"), "start")
+    counts = ws.cut(x.groupBy(shard, bucket).agg(F.count("*").alias("_kd_n")), "counts")  # shards * buckets rows
+    start = counts.withColumn("_kd_start", F.sum("_kd_n").over(Window.partitionBy(shard).orderBy(bucket)) - F.col("_kd_n")).select(F.col(shard).alias("_kd_shard"), F.col(bucket).alias("_kd_in"), "_kd_start")
     w = Window.partitionBy(shard, bucket).orderBy(F.col("doc_id").asc_nulls_first(), F.col("text"))
-    x = x.withColumn(slot, F.row_number().over(w) - 1).join(start, (F.col(shard) == F.col("_s_shard")) & (F.col(bucket) == F.col("_s_bucket")))
-    return x.withColumn(slot, F.col("start") + F.col(slot)).select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], F.col(shard).cast("int").alias(shard), F.col(slot).cast("long").alias(slot))
+    x = x.withColumn(slot, F.row_number().over(w) - 1).join(start, (F.col(shard) == F.col("_kd_shard")) & (F.col(bucket) == F.col("_kd_in")))
+    return x.withColumn(slot, F.col("_kd_start") + F.col(slot)).select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], F.col(shard).cast("int").alias(shard), F.col(slot).cast("long").alias(slot))
 
 
 def shard_plan(docs: DataFrame, shards: int = 8) -> DataFrame:

@@ -34,7 +34,7 @@ def _terms(text: Column) -> Column:
 
 def _votes() -> tuple[list[Column], Column]:
     """The sums, and the total weight, over rows that have a term `t`."""
-    w = F.coalesce(F.least(F.length("t.a") + F.coalesce(F.length("t.b"), F.lit(0)), F.lit(31)).cast("long"), F.lit(0).cast("long"))
+    w = F.when(F.col("t.a").isNull(), F.lit(0)).otherwise(F.least(F.length("t.a") + F.coalesce(F.length("t.b"), F.lit(0)), F.lit(31))).cast("long")
     sums = []
     for part in range(2):
         h = F.xxhash64("t.a", "t.b") if part == 0 else F.xxhash64("t.b", "t.a", F.lit(part))
