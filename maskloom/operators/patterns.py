@@ -117,7 +117,7 @@ US = [
 
 SHARED = [
     Recognizer("SocialHandleRecognizer", ("PERSON", "ORGANIZATION"), ("*",), ((HANDLE, 0.85, "PERSON"), (HASHTAG, 0.78, "ORGANIZATION")), group=1, needs="[@#]"),
-    _p("Username", "PERSON", "*", (DOTTED_USERNAME, 0.5), (STEM_USERNAME, 0.5), needs=r"[0-9.\-]"),
+    _p("Username", "PERSON", "*", (DOTTED_USERNAME, 0.5), (STEM_USERNAME, 0.5), needs=r"[^\s0-9.\-][.\-][^\s0-9.\-]|[^\s0-9][0-9]{2}"),
     _p("FRStreet", "STREET_ADDRESS", "*", (r"\b(?:Rue|Avenue|Av\.|Boulevard|Bd\.|Bvd\.|Place|Pl\.|Allée|Allee|Impasse|Cours|Quai|Chemin|Route|Rte\.|Voie|Square|Sq\.)\s+(?:de\s+la\s+|du\s+|de\s+|des\s+|le\s+|la\s+|les\s+|l['’])?" + _STREET_TAIL, 0.8), needs=r"Rue|Av|B(?:oulev|v?d)|Pl|All|Impasse|Cours|Quai|Chemin|R(?:ou)?te|Voie|Sq"),
     _p("ITStreet", "STREET_ADDRESS", "*", (r"\b(?:Via|Viale|V\.le|Piazza|P\.zza|Corso|C\.so|Largo|Vicolo|Strada|Str\.|Piazzale|P\.le|Lungomare|Calle|Salita|Discesa)\s+(?:dei\s+|delle\s+|della\s+|del\s+|dello\s+|degli\s+|delle\s+|di\s+|San\s+|Santa\s+|Sant['’])?" + _STREET_TAIL, 0.8), needs=r"Via|V\.|P(?:iazza|\.)|C(?:orso|\.so|alle)|Largo|Vicolo|Str|Lungomare|Salita|Discesa"),
     _p("ESStreet", "STREET_ADDRESS", "*", (r"\b(?:Calle|C\/|Avenida|Av\.|Avda\.|Plaza|Pl\.|Paseo|Pso\.|Camino|Carrera|Cra\.|Carretera|Ctra\.|Ronda|Travesía|Travesia|Glorieta|Ruta)\s+(?:de\s+la\s+|de\s+los\s+|de\s+las\s+|del\s+|de\s+|la\s+|el\s+|los\s+|las\s+)?" + _STREET_TAIL, 0.8), needs=r"C(?:alle|/|amino|arre|t?ra)|Av|Pl|P(?:aseo|so)|Ronda|Traves|Glorieta|Ruta"),
@@ -154,7 +154,7 @@ ROMANIA = [
     _p("RomanianCNP", "ID", "*", (r"\b[1-8]\d{12}\b", 0.85), words=("CNP", "cod numeric", "C.I.F", "identificare"), needs="[0-9]{13}"),
     _p("RomanianVehicleReg", "ID", "*", (r"\bR\d{2}[-.\s]?\d{6,9}\b", 0.75), words=("amenda", "amenzi", "circulatie", "BORD", "rovineta"), needs="R[0-9]{2}"),
     _p("RomanianTreasuryAccount", "IBAN_CODE", "*", (r"(?:RO[A-Z0-9]{1,3})?TREZ[A-Z0-9]{10,30}\b", 0.85), words=("cont", "trezorerie", "TREZ", "IBAN"), needs="TREZ"),
-    _p("RomanianStreet", "STREET_ADDRESS", "*", (rf"(?i)\b(?:strada|str\.|soseaua|sos\.|bd\.|bulevardul|aleea|calea|piata|piaţa|splaiul|intrarea)[\s.]+[{_RO}][{_RO}.'-]{{1,40}}(?:[\s,]+[{_RO}.'-]{{1,40}}){{0,5}}(?:[\s,]+(?:nr\.?|no\.?)[\s.]?\d{{1,5}}[A-Za-z]?)?", 0.8), words=("adresa", "domiciliu", "sediu", "address"), needs=r"(?i:str(?:ada|\.)|sos|bd\.|bulevardul|aleea|calea|pia[tţ]a|splaiul|intrarea)"),
+    _p("RomanianStreet", "STREET_ADDRESS", "*", (rf"(?i)\b(?:strada|str\.|soseaua|sos\.|bd\.|bulevardul|aleea|calea|piata|piaţa|splaiul|intrarea)[\s.]+[{_RO}][{_RO}.'-]{{1,40}}(?:[\s,]+[{_RO}.'-]{{1,40}}){{0,5}}(?:[\s,]+(?:nr\.?|no\.?)[\s.]?\d{{1,5}}[A-Za-z]?)?", 0.8), words=("adresa", "domiciliu", "sediu", "address"), needs=r"[Ss][Tt][Rr](?:[Aa][Dd]|\.)|[Ss][Oo][Ss]|[Bb][Dd]\.|[Bb][Uu][Ll][Ee]|[Aa][Ll][Ee][Ee]|[Cc][Aa][Ll][Ee][Aa]|[Pp][Ii][Aa]|[Ss][Pp][Ll][Aa]|[Ii][Nn][Tt][Rr][Aa][Rr]"),
     _p("RomanianObservation", "PERSON", "*", (r"\bObs[:.]\s*[A-ZĂÂÎȘȚŞŢ][A-ZĂÂÎȘȚŞŢ\s]{2,80}", 0.8), words=("Obs", "observatie", "observaţie"), needs="Obs"),
     _p("TimeOfDay", "DATE_TIME", "*", (r"\b(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d)?\b", 0.7), words=("ora", "time", "h", "AM", "PM"), needs="[0-9]:[0-9]"),
 ]
