@@ -84,7 +84,7 @@ def fit(toxic: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray, int]], round
     first = np.cumsum(n) - n
     document = np.repeat(np.arange(len(n)), n)
     bucket = np.concatenate([x[0] for x in bags])
-    sentence = np.concatenate([x[1] + f for x, f in zip(bags, first)])
+    sentence = np.concatenate([x[1] + np.int32(f) for x, f in zip(bags, first)])
     of_doc = np.unique(document[sentence] * BUCKETS + bucket)
     df = np.bincount(of_doc % BUCKETS, minlength=BUCKETS)
     df1 = np.bincount(of_doc % BUCKETS, weights=toxic[of_doc // BUCKETS], minlength=BUCKETS)
@@ -115,12 +115,13 @@ def fit(toxic: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray, int]], round
     return weights, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 5000, parts: int = 3, fold: int = 1) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, parts: int = 3, fold: int = 1) -> tuple[np.ndarray, float]:
     """Learns from rows outside the held-out fold."""
     sample = labelled_sample(docs, labels, per_class, fold_of(F.col("id"), parts) != fold)
     rows = sample.mapInArrow(_sample_bags, "toxic int, buckets binary, sentences binary, n long").collect()
-    rows = sorted(rows, key=lambda r: (r["toxic"], bytes(r["buckets"])))
-    return fit(np.array([r["toxic"] for r in rows]), [(np.frombuffer(r["buckets"], np.int32).astype(np.int64), np.frombuffer(r["sentences"], np.int32).astype(np.int64), r["n"]) for r in rows])
+    rows = sorted((r["toxic"], bytes(r["buckets"]), bytes(r["sentences"]), r["n"]) for r in rows)
+    toxic = np.array([r[0] for r in rows])
+    return fit(toxic, [(np.frombuffer(b, np.int32), np.frombuffer(s, np.int32), n) for _, b, s, n in rows])
 
 
 def sentence_scores(texts: list[str | None], weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +162,7 @@ def _score(weights: np.ndarray, bias: float, threshold: float):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = 5000, parts: int = 3, fold: int = 1) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = 3000, parts: int = 3, fold: int = 1) -> DataFrame:
     """One row per document: held_out, score, predicted, and the offending sentences (start:end, code points of the
     lower-cased text) of those predicted toxic."""
     weights, bias = train(docs, labels, per_class, parts, fold)
