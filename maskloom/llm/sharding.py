@@ -51,21 +51,22 @@ def _positions(size: Column, lang: Column, source: Column, tie: Column) -> Colum
     return F.array(*[F.shiftleft(a, 32).bitwiseOR(low) for a in axes])
 
 
-def _groups(docs: DataFrame) -> DataFrame:
-    """For each text that occurs more than once: key, first document's lang, source, bytes of all."""
-    rows = docs.select(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("_kd_g_key"), F.col("doc_id").cast("long").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), _size(F.col("text")).alias("size"))
-    met = rows.groupBy("_kd_g_key").agg(F.min(F.struct("id", "lang", "source")).alias("first"), F.sum("size").alias("bytes"), F.count("*").alias("n")).where("n > 1")
-    return met.select("_kd_g_key", F.col("first.lang").alias("_kd_g_lang"), F.col("first.source").alias("_kd_g_source"), F.col("bytes").alias("_kd_g_bytes"))
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
-def _placed(docs: DataFrame, groups: DataFrame, heaviest: int, name: str) -> DataFrame:
-    """docs and a struct `name`: size, at (positions on the axes)."""
-    key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    x = docs.join(groups, key == F.col("_kd_g_key"), "left")
-    grouped = F.col("_kd_g_key").isNotNull()
-    tie = F.when(grouped & (F.col("_kd_g_bytes") > heaviest), F.xxhash64(key, F.col("doc_id").cast("long"))).otherwise(F.xxhash64(key))
-    at = _positions(_size(F.col("text")), F.when(grouped, F.col("_kd_g_lang")).otherwise(F.col("lang").cast("string")), F.when(grouped, F.col("_kd_g_source")).otherwise(F.col("source").cast("string")), tie)
-    return x.withColumn(name, F.struct(_size(F.col("text")).alias("size"), at.alias("at"))).drop("_kd_g_key", "_kd_g_lang", "_kd_g_source", "_kd_g_bytes")
+def _slim(docs: DataFrame, *more: Column) -> DataFrame:
+    """What placing reads of a document: id, key of its text, size, lang, source. Texts are not dealt around."""
+    return docs.select(F.col("doc_id").cast("long").alias("id"), _key(F.col("text")).alias("key"), _size(F.col("text")).alias("size"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), *more)
+
+
+def _placed(slim: DataFrame, heaviest: int) -> DataFrame:
+    """slim and `at`, the positions on the axes. Rows of a group take those of its first document."""
+    groups = slim.groupBy("key").agg(F.min(F.struct("id", "lang", "source")).alias("first"), F.sum("size").alias("bytes"), F.count("*").alias("n")).where("n > 1").drop("n")
+    grouped = F.col("first").isNotNull()
+    tie = F.when(grouped & (F.col("bytes") > heaviest), F.xxhash64("key", "id")).otherwise(F.xxhash64("key"))
+    own = lambda c: F.when(grouped, F.col(f"first.{c}")).otherwise(F.col(c))
+    return slim.join(groups, "key", "left").withColumn("at", _positions(F.col("size"), own("lang"), own("source"), tie)).drop("first", "bytes")
 
 
 def _descend(rows: DataFrame, level: list[tuple[int, int, int, int, int]], at: Column, node: str) -> DataFrame:
@@ -140,39 +141,50 @@ def build(rows: DataFrame, leaves: int) -> Tree:
         ws.drop(f"level{depth - 1}")
 
 
-def shard_documents(docs: DataFrame, shards: int | None = 8, target_bytes: int | None = None, group_share: float = 0.02, names: tuple[str, str] = ("shard", "slot"), per_bucket: int = 4096) -> DataFrame:
-    """The documents, all columns kept, with their shard and slot. shards: how many; else leaves of about target_bytes."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "shards")
-    groups = ws.cut(_groups(docs), "groups")
-    n, total = docs.agg(F.count("*"), F.coalesce(F.sum(_size(F.col("text"))), F.lit(0))).first()
+def _numbered(ws: Workspace, slim: DataFrame, shards: int | None, target_bytes: int | None, group_share: float, per_bucket: int) -> DataFrame:
+    """slim and shard, slot."""
+    n, total = slim.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if shards is None:
         shards = max(1, -(-total // target_bytes))
-    place = "_kd"
-    while {place, place + "_node", place + "_bucket"} & set(docs.columns):
-        place += "_"
-    placed = _placed(docs, groups, int(total / shards * group_share), place)
-    tree = build(placed.select(f"{place}.size", f"{place}.at"), shards)
-    node, bucket = place + "_node", place + "_bucket"
-    x = placed.withColumn(node, F.lit(0))
+    placed = ws.cut(_placed(slim, int(total / shards * group_share)), "placed")
+    tree = build(placed.select("size", "at"), shards)
+    x = placed.withColumn("node", F.lit(0))
     for level in tree.levels:
-        x = _descend(x, level, F.col(f"{place}.at"), node)
+        x = _descend(x, level, F.col("at"), "node")
     shard_of = F.create_map(*[F.lit(v) for pair in tree.shards.items() for v in pair])
-    shard, slot = names
-    x = x.drop(*[c for c in names if c in docs.columns]).withColumn(shard, F.element_at(shard_of, F.col(node)))
+    x = x.withColumn("shard", F.element_at(shard_of, F.col("node"))).drop("node", "at")
     buckets = max(1, n // shards // per_bucket)
-    x = x.withColumn(bucket, F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(buckets)).cast("int"))
-    counts = ws.cut(x.groupBy(shard, bucket).agg(F.count("*").alias("_kd_n")), "counts")  # shards * buckets rows
-    start = counts.withColumn("_kd_start", F.sum("_kd_n").over(Window.partitionBy(shard).orderBy(bucket)) - F.col("_kd_n")).select(F.col(shard).alias("_kd_shard"), F.col(bucket).alias("_kd_in"), "_kd_start")
-    w = Window.partitionBy(shard, bucket).orderBy(F.col("doc_id").asc_nulls_first(), F.col("text"))
-    x = x.withColumn(slot, F.row_number().over(w) - 1).join(start, (F.col(shard) == F.col("_kd_shard")) & (F.col(bucket) == F.col("_kd_in")))
-    return x.withColumn(slot, F.col("_kd_start") + F.col(slot)).select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], F.col(shard).cast("int").alias(shard), F.col(slot).cast("long").alias(slot))
+    x = ws.cut(x.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")), "sharded")
+    counts = x.groupBy("shard", "bucket").agg(F.count("*").alias("n"))  # shards * buckets rows
+    start = counts.withColumn("start", F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).drop("n")
+    w = Window.partitionBy("shard", "bucket").orderBy(F.col("id").asc_nulls_first(), "key")
+    return x.withColumn("i", F.row_number().over(w) - 1).join(start, ["shard", "bucket"]).withColumn("slot", (F.col("start") + F.col("i")).cast("long")).drop("i", "start", "bucket")
+
+
+def shard_documents(docs: DataFrame, shards: int | None = 8, target_bytes: int | None = None, group_share: float = 0.02, names: tuple[str, str] = ("shard", "slot"), per_bucket: int = 4096) -> DataFrame:
+    """The documents, all columns kept, with their shard and slot. shards: how many; else leaves of about target_bytes.
+    Places are found on ids and keys; texts are shuffled once, to meet them."""
+    ws = Workspace(docs.sparkSession, "shards")
+    slim = ws.cut(_slim(docs), "slim")
+    w = Window.partitionBy("id", "key").orderBy("shard", "slot")
+    found = ws.cut(_numbered(ws, slim, shards, target_bytes, group_share, per_bucket).select("id", "key", "shard", "slot", F.row_number().over(w).alias("turn")), "found")
+    k, i, t = "_kd_key", "_kd_id", "_kd_turn"
+    x = docs.withColumn(k, _key(F.col("text"))).withColumn(i, F.col("doc_id").cast("long"))
+    again = found.where("turn > 1").select(F.col("id").alias("_kd_a"), F.col("key").alias("_kd_b")).distinct()  # repeated rows
+    if again.isEmpty():
+        x = x.withColumn(t, F.lit(1))
+    else:
+        same = F.col(i).eqNullSafe(F.col("_kd_a")) & (F.col(k) == F.col("_kd_b"))
+        once, many = x.join(again, same, "left_anti"), x.join(again, same, "left_semi")
+        x = once.withColumn(t, F.lit(1)).union(many.withColumn(t, F.row_number().over(Window.partitionBy(i, k).orderBy(i))))
+    place = found.select(F.col("id").alias("_kd_id2"), F.col("key").alias("_kd_key2"), F.col("turn").alias("_kd_turn2"), F.col("shard").cast("int").alias("_kd_shard"), F.col("slot").alias("_kd_slot"))
+    met = x.join(place, (F.col(k) == F.col("_kd_key2")) & F.col(i).eqNullSafe(F.col("_kd_id2")) & (F.col(t) == F.col("_kd_turn2")))
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], F.col("_kd_shard").alias(names[0]), F.col("_kd_slot").alias(names[1]))
 
 
 def shard_plan(docs: DataFrame, shards: int = 8) -> DataFrame:
     """The contract's digest: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    ws = Workspace(docs.sparkSession, "shards")
     crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    # texts are not dealt around: what a document weighs and which group it is in is all that placing needs
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
-    out = shard_documents(slim.withColumn("size", _size(F.col("text"))).withColumn("text_crc32", crc), shards)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    out = _numbered(ws, ws.cut(_slim(docs, crc.alias("crc")), "slim"), shards, None, 0.02, 4096)
+    return out.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
