@@ -28,9 +28,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Repeated rows of the document that stays are one document: one of them stays."""
     gone = near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias("_gone"))
     left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    repeated = left.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
-    once = left.join(repeated, left["doc_id"] == repeated["_again"], "left_anti")
-    return once.union(left.join(repeated, left["doc_id"] == repeated["_again"], "left_semi").dropDuplicates(["doc_id"]))
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))  # ids alone
+    if again.isEmpty():
+        return left
+    once = left.join(again, left["doc_id"] == again["_again"], "left_anti")
+    return once.union(left.join(again, left["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id"]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
