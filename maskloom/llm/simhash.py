@@ -7,7 +7,10 @@ times the weight: 64 plain sums that stay in generated code. Bit i is set where
 
 `near(...)` searches by block tables: with radius r the fingerprint is cut into r + 1 blocks (or more, of which `pick`
 are joined to a key); two fingerprints within r bits agree on at least one key, so equi-joins on the permuted keys find
-all of them and the distance decides. Equal fingerprints are one entry of the tables.
+all of them and the distance decides. Equal fingerprints are one entry of the tables. A wide radius would need many short
+blocks, which meet by chance; instead, of `blocks` blocks one differs by radius // blocks bits at most, so the queries, the
+smaller side, also look up every key so close to theirs. The search stays exact. The keys are sorted, not broadcast: they
+grow with the table.
 
 Defined results: null, empty and blank texts have a fingerprint of zeros; repeated rows are separate rows, each other's
 neighbours in order (ascending doc_id, then text; nulls first); other columns are ignored.
@@ -25,6 +28,8 @@ from .common import Workspace
 
 LANES = 0x100000001
 BITS = 128
+#: Chosen from the distances of near copies in sf0.1, see the README.
+RADIUS = 16
 
 
 def _terms(text: Column) -> Column:
@@ -121,21 +126,45 @@ def block_keys(f1: Column, f2: Column, blocks: int, pick: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), *[x for b in choice for x in part(edges[b], edges[b + 1])]) for i, choice in enumerate(combinations(range(blocks), pick))])
 
 
-def near(queries: DataFrame, table: DataFrame, radius: int = 6, blocks: int = 7, pick: int = 1) -> DataFrame:
+def least_probe(radius: int, blocks: int, pick: int = 1) -> int:
+    """By how many bits the `pick` blocks that differ least can differ where fingerprints are within the radius."""
+    q, s = divmod(radius, blocks)
+    return pick * q + max(0, pick - (blocks - s))
+
+
+def _flips(blocks: int, pick: int, probe: int) -> Column:
+    """For each key, as structs of its number and two words, all ways to flip up to `probe` bits of its blocks."""
+    edges = [BITS * i // blocks for i in range(blocks + 1)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = []
+    for i, choice in enumerate(combinations(range(blocks), pick)):
+        places = [b for c in choice for b in range(edges[c], edges[c + 1])]
+        for m in (sum(1 << b for b in flip) for k in range(probe + 1) for flip in combinations(places, k)):
+            rows.append(f"named_struct('i', {i + 1}, 'm1', {signed(m & (1 << 64) - 1)}L, 'm2', {signed(m >> 64)}L)")
+    return F.expr(f"array({', '.join(rows)})")
+
+
+def near(queries: DataFrame, table: DataFrame, radius: int = RADIUS, blocks: int = RADIUS + 1, pick: int = 1, probe: int = 0) -> DataFrame:
     """For each distinct fingerprint (f1, f2) of `queries`: n_within, the rows of `table` within the radius.
 
-    More blocks with pick = 2 make keys longer and chance candidates rarer, for tables of billions of rows."""
-    if blocks - radius < pick:
-        raise ValueError("blocks - radius must be at least pick, or pairs would be lost")
+    More blocks with pick = 2 make keys longer and chance candidates rarer, for tables of billions of rows. With fewer
+    blocks than the radius needs, queries also look up keys that differ from theirs by up to `probe` bits."""
+    if probe < least_probe(radius, blocks, pick):
+        raise ValueError("blocks - radius must be at least pick, or probe at least least_probe(...), or pairs would be lost")
     q = queries.select(F.col("f1").alias("q1"), F.col("f2").alias("q2")).distinct()
-    q = q.withColumn("key", F.explode(block_keys(F.col("q1"), F.col("q2"), blocks, pick)))
+    if probe:
+        q = q.withColumn("x", F.explode(_flips(blocks, pick, probe)))
+        flipped = block_keys(F.col("q1").bitwiseXOR(F.col("x.m1")), F.col("q2").bitwiseXOR(F.col("x.m2")), blocks, pick)
+        q = q.select("q1", "q2", F.element_at(flipped, F.col("x.i")).alias("key"))
+    else:
+        q = q.withColumn("key", F.explode(block_keys(F.col("q1"), F.col("q2"), blocks, pick)))
     t = table.groupBy("f1", "f2").agg(F.count("*").alias("rows")).withColumn("key", F.explode(block_keys(F.col("f1"), F.col("f2"), blocks, pick)))
-    hits = q.join(t, "key").where(distance(F.col("q1"), F.col("q2"), F.col("f1"), F.col("f2")) <= radius)
+    hits = q.join(t.hint("merge"), "key").where(distance(F.col("q1"), F.col("q2"), F.col("f1"), F.col("f2")) <= radius)
     hits = hits.select("q1", "q2", "f1", "f2", "rows").distinct()
     return hits.groupBy(F.col("q1").alias("f1"), F.col("q2").alias("f2")).agg(F.sum("rows").alias("n_within"))
 
 
-def edited_fingerprints(docs: DataFrame, radius: int = 6) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, radius: int = RADIUS, blocks: int = 6) -> DataFrame:
     """The contract's digest of the operator: fingerprints of texts and of texts whose end is replaced by the next one's
     beginning, the likeness of both, and for every 100th doc_id the number of other documents within the radius."""
     spark = docs.sparkSession
@@ -151,7 +180,7 @@ def edited_fingerprints(docs: DataFrame, radius: int = 6) -> DataFrame:
     made = ws.cut(both.groupBy(*keys).agg(one("f1", 0).alias("f1"), one("f2", 0).alias("f2"), one("f1", 1).alias("e1"), one("f2", 1).alias("e2")), "fingerprints")
     following = made.select(F.col("rid").alias("next_rid"), F.col("f1").alias("n1"), F.col("f2").alias("n2"))
     queries = made.where("doc_id % 100 = 0")
-    found = near(queries, made, radius)
+    found = near(queries, made, radius, blocks, probe=least_probe(radius, blocks))
     like = lambda *x: F.lit(1.0) - distance(*map(F.col, x)) / BITS
     out = made.join(following, "next_rid").join(found, ["f1", "f2"], "left")
     asked = F.col("doc_id") % 100 == 0

@@ -174,6 +174,36 @@ def test_block_tables_find_all_within_the_radius(spark):
         H.near(t, t, 6, 6, 1)
 
 
+def test_search_by_probing_is_exact_at_the_wide_radius(spark):
+    rng = random.Random(6)
+    base = [rng.getrandbits(128) for _ in range(10)]
+    points = base + [b ^ sum(1 << k for k in rng.sample(range(128), rng.randrange(8, 21))) for b in base for _ in range(30)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    t = spark.createDataFrame([(signed(p >> 64), signed(p & (1 << 64) - 1)) for p in points], "f1 long, f2 long")
+    q = t.limit(10)
+    for radius, blocks, pick in ((16, 6, 1), (16, 5, 1), (16, 12, 2)):
+        got = {(r.f1, r.f2): r.n_within for r in H.near(q, t, radius, blocks, pick, H.least_probe(radius, blocks, pick)).collect()}
+        assert got == {(signed(p >> 64), signed(p & (1 << 64) - 1)): sum(bin(p ^ x).count("1") <= radius for x in points) for p in base}
+    with pytest.raises(ValueError):
+        H.near(q, t, 16, 6, 1, 1)
+
+
+def test_simhash_counts_near_copies(spark):
+    """Copies with a few words changed are counted, though their fingerprints differ by more than 6 bits."""
+    rng = random.Random(8)
+    made = lambda: " ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randrange(2, 11))) for _ in range(200))
+    rows = []
+    for k in range(6):
+        text = made()
+        words = text.split()
+        for at in (40, 90, 140):
+            words[at] = "changed"
+        rows += [(100 * k, text), (100 * k + 1, " ".join(words)), (100 * k + 2, made())]
+    got = {r.doc_id: r for r in H.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    apart = [bin(int(got[100 * k].fingerprint, 16) ^ int(got[100 * k + 1].fingerprint, 16)).count("1") for k in range(6)]
+    assert any(d > 6 for d in apart) and [got[100 * k].n_near for k in range(6)] == [1] * 6
+
+
 # -- 4 ---------------------------------------------------------------------------------------------------------------
 
 
