@@ -185,7 +185,7 @@ GERMANY = [
        (rf"\b(?:KfW(?:[ \t]+Bankengruppe)?|HypoVereinsbank|HypoRealEstate|Deutsche[ \t]+Bank|Commerzbank|Postbank|DKB|ING-DiBa|ING|Targobank|N26|DZ[ \t]+Bank|Apobank|BBBank|PSD[ \t]+Bank|LBBW|BayernLB|NordLB|HSH[ \t]+Nordbank|Helaba|Landesbank[ \t]+{_U}[a-zäöüß-]+|DekaBank|Berenberg|M\.M\.[ \t]+Warburg(?:[ \t]+&[ \t]+Co\.?)?|Metzler|Hauck[ \t]+Aufh[äa]user|(?:Sparkasse|Volksbank|Raiffeisenbank|VR-Bank|Genobank|PSD[ \t]+Bank|Sparda-?Bank)(?:[- ]{_NAME}(?:[ \t]+{_NAME}){{0,2}})?)(?:[ \t]+eG)?\b", 0.88),
        (rf"\b(?:Kanzlei|Rechtsanwaltskanzlei|Notariat|Sozietät|Anwaltskanzlei)[ \t]+{_U}{_L}+(?:[ \t]*[&,][ \t]*{_U}{_L}+){{0,4}}(?:[ \t]*&[ \t]*(?:Kollegen|Partner|Partnerschaft))?\b", 0.85),
        (rf"\b(?:Firma[ \t]+)?{_U}[A-Za-zäöüß0-9.&'-]+(?:[ \t]+(?:&[ \t]+)?{_U}[A-Za-zäöüß0-9.&'-]+){{0,5}}[ \t]+(?:GmbH(?:[ \t]+&[ \t]+Co\.?[ \t]+(?:KG|KGaA|OHG))?|AG|KGaA|KG|OHG|oHG|e\.?V\.?|e\.?K\.?|SE|UG(?:[ \t]*\(haftungsbeschr[äa]nkt\))?|PartG(?:mbB)?|Stiftung(?:[ \t]+b[üu]rgerlichen[ \t]+Rechts)?)\b", 0.82),
-       words=("gericht", "kanzlei", "rechtsanwalt", "notar", "richter", "kläger", "beklagter", "bank", "sparkasse", "iban", "konto", "kontoauszug", "kundennummer", "amt", "behörde", "ministerium", "verfügung", "bescheid", "firma", "gesellschaft", "geschäft"), needs=r"gericht|BGH|BAG|BSG|BFH|BVer|amt\b|Poliz|anwalt|inisterium|eh[öo]rde|[Bb]ank|Hypo|DKB|ING|N26|LB|Helaba|Berenberg|Warburg|Metzler|Hauck|KfW|kasse|Kanzlei|Notariat|Soziet|GmbH|[AK]G|HG|e\.?V|e\.?K|SE|UG|PartG|Stiftung"),
+       words=("gericht", "kanzlei", "rechtsanwalt", "notar", "richter", "kläger", "beklagter", "bank", "sparkasse", "iban", "konto", "kontoauszug", "kundennummer", "amt", "behörde", "ministerium", "verfügung", "bescheid", "firma", "gesellschaft", "geschäft"), needs=r"gericht|finanzhof|BGH|BAG|BSG|BFH|BVer|amt\b|Poliz|[Aa]nwalt|inisterium|eh[öo]rde|[Bb]ank|Hypo|DKB|ING|N26|LB|Helaba|Berenberg|Warburg|Metzler|Hauck|KfW|kasse|Kanzlei|Notariat|Soziet|GmbH|[AK]G|HG|e\.?V|e\.?K|SE|UG|PartG|Stiftung"),
     _p("BIC", "ID", "*", (rf"\b[A-Z]{{4}}(?:{COUNTRIES_BIC})[A-Z0-9]{{2}}(?:[A-Z0-9]{{3}})?\b", 0.9), needs="[A-Z]{6}"),
     _p("ISIN", "ID", "*", (rf"\b(?:{COUNTRIES_ISIN})[A-Z0-9]{{9}}\d\b", 0.95), check=C.isin, keep_score=True, needs="[A-Z]{2}[A-Z0-9]{9}[0-9]"),
     Recognizer("DEProfessionRecognizer", ("PROFESSION",), ("de",), procedure="de_professions"),

@@ -1,3 +1,6 @@
+import random
+import re._parser as parser
+
 import pytest
 
 from maskloom.functions import checksums as C
@@ -127,3 +130,57 @@ def test_checksums():
 def test_dialect():
     assert python(r"\b[A-ZÄÖÜ][a-zäöüß]+").search(" Österreich") is None  # boundaries are ASCII
     assert "(?<=[0-9A-Za-z_])" in java(r"\ba") and java("a$").endswith(r"\z") and java("(?i)ü").startswith("(?d)(?iu)")
+
+
+def _members(items):
+    kinds = {"CATEGORY_DIGIT": "0123456789", "CATEGORY_SPACE": " \t", "CATEGORY_WORD": "azAZ09_"}
+    out = [c for op, a in items for c in ([chr(a)] if str(op) == "LITERAL" else map(chr, range(a[0], a[1] + 1)) if str(op) == "RANGE" else kinds.get(str(a), ".-")) if str(op) != "NEGATE"]
+    return [c for c in map(chr, range(32, 127)) if c not in out] if str(items[0][0]) == "NEGATE" else out
+
+
+def _surface(tree, rng, want):
+    """A random text of the pattern; `want` says which alternative of a branch is taken."""
+    out = ""
+    for op, a in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(a)
+        elif kind in ("ANY", "NOT_LITERAL"):
+            out += "x"
+        elif kind == "IN":
+            out += rng.choice(_members(a))
+        elif kind == "BRANCH":
+            out += _surface(a[1][want[id(a)]] if id(a) in want else rng.choice(a[1]), rng, want)
+        elif kind == "SUBPATTERN":
+            out += _surface(a[3], rng, want)
+        elif kind.endswith("REPEAT"):
+            out += "".join(_surface(a[2], rng, want) for _ in range(a[0] if rng.random() < 0.6 else min(int(a[1]), a[0] + rng.randrange(3))))
+    return out
+
+
+def _branches(tree):
+    for op, a in tree:
+        if str(op) == "BRANCH":
+            for i, t in enumerate(a[1]):
+                yield {id(a): i}
+                yield from _branches(t)
+        elif str(op) == "SUBPATTERN":
+            yield from _branches(a[3])
+        elif str(op).endswith("REPEAT"):
+            yield from _branches(a[2])
+
+
+@pytest.mark.parametrize("r", [r for r in DEFAULT if r.needs and r.patterns], ids=lambda r: r.name)
+def test_guards_let_every_alternative_through(r):
+    guard, rng = python(r.needs), random.Random(1)
+    for pattern in (p[0] for p in r.patterns):
+        found = python(pattern)
+        tree = parser.parse(pattern.replace("[\\p{L}", "[A-Za-zé").replace("\\p{Ll}", "[a-zé]").replace("\\p{L}", "[A-Za-zé]"))
+        made = [_surface(tree, rng, want) for want in [{}, *_branches(tree)] for _ in range(40)]
+        made = [t for t in made if found.search(t)]
+        assert made and [t for t in made if not guard.search(t)] == []
+
+
+def test_federal_finance_court_is_found():
+    assert ("Bundesfinanzhof", "ORGANIZATION", 0.9) in run("Der Bundesfinanzhof hat am Montag entschieden.", "de")
+    assert any(t.startswith("Anwaltskanzlei") and e == "ORGANIZATION" for t, e, _ in run("Die Anwaltskanzlei Meier schrieb.", "de"))
