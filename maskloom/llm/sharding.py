@@ -5,8 +5,11 @@ dictionary). A node is cut along the axis on which its documents spread widest,
 odd number of leaves in proportion), until each leaf is one shard. Positions on an axis are 31 bits of the coordinate and 32
 of a tie-breaker, so a language or source that holds a third of all rows is cut like any other.
 
-Equal texts are a group: they share the position of their first document (smallest doc_id) and stay in one shard, unless a
-group is heavier than `group_share` of a shard, which could not be balanced; its rows then spread by doc_id.
+Equal texts are a group: they share the position of their first document (smallest doc_id) and stay in one shard. A group
+heavier than `group_share` of a shard is one item with a weight: at each node such items are cut in the order of the axis, as
+long as either side can hold its own, and the rest of the node is cut so that both sides come out even. There are at most
+shards / group_share items, which the driver holds. Only groups that find no room in a shard spread by doc_id: those heavier
+than a whole shard, and some of about that weight where there are more of them than shards.
 
 Medians are found by sums over ranges of positions, narrowed 13 bits at a time: each round is one aggregation, of which the
 driver sees at most 8192 sums for each open node. A tree is a table of cuts; applying it is a broadcast join of at most as
@@ -21,6 +24,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +41,45 @@ class Tree:
 
     levels: list[list[tuple[int, int, int, int, int]]] = field(default_factory=list)
     shards: dict[int, int] = field(default_factory=dict)  # node -> shard
+    items: dict[bytes, int] = field(default_factory=dict)  # key of a heavy group -> shard
+
+
+@dataclass
+class Item:
+    """A heavy group: key, bytes, positions on the axes."""
+
+    key: bytes
+    size: int
+    at: list[int]
+
+
+def _emptiest(items: list[Item], bins: int, room: float) -> list[int | None]:
+    """For each item the bin it goes to, heaviest first and to the emptiest; None where it finds no room."""
+    out: list[int | None] = [None] * len(items)
+    loads = [(0, b) for b in range(bins)]
+    for i in sorted(range(len(items)), key=lambda i: (-items[i].size, items[i].key)):
+        load, b = loads[0]
+        if load + items[i].size <= room:
+            heapq.heapreplace(loads, (load + items[i].size, b))
+            out[i] = b
+    return out
+
+
+def _divided(items: list[Item], axis: int, bins: int, room: float) -> tuple[list[Item], list[Item]]:
+    """The items of a node's left and right side: cut in the order of the axis at the median where both sides can hold
+    theirs, else as they pack into the node's shards."""
+    half = bins // 2
+    goal, before, n = sum(x.size for x in items) * half / bins, 0, 0
+    ordered = sorted(items, key=lambda x: (x.at[axis], x.key))
+    for x in ordered:
+        if before + x.size / 2 > goal:
+            break
+        before, n = before + x.size, n + 1
+    left, right = ordered[:n], ordered[n:]
+    if None not in _emptiest(left, half, room) and None not in _emptiest(right, bins - half, room):
+        return left, right
+    packed = _emptiest(items, bins, room)
+    return [x for x, b in zip(items, packed) if b is not None and b < half], [x for x, b in zip(items, packed) if b is None or b >= half]
 
 
 def _size(text: Column) -> Column:
@@ -60,13 +103,25 @@ def _slim(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), _key(F.col("text")).alias("key"), _size(F.col("text")).alias("size"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), *more)
 
 
-def _placed(slim: DataFrame, heaviest: int) -> DataFrame:
-    """slim and `at`, the positions on the axes. Rows of a group take those of its first document."""
-    groups = slim.groupBy("key").agg(F.min(F.struct("id", "lang", "source")).alias("first"), F.sum("size").alias("bytes"), F.count("*").alias("n")).where("n > 1").drop("n")
+def _groups(slim: DataFrame) -> DataFrame:
+    """Texts that several rows have: key, first (document), size (of a row), bytes (of all)."""
+    return slim.groupBy("key").agg(F.min(F.struct("id", "lang", "source")).alias("first"), F.max("size").alias("size"), F.sum("size").alias("bytes"), F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+def _items(groups: DataFrame, heaviest: int) -> list[Item]:
+    at = _positions(F.col("size"), F.col("first.lang"), F.col("first.source"), F.xxhash64("key"))
+    return [Item(bytes(r[0]), r[1], r[2]) for r in groups.where(F.col("bytes") > heaviest).select("key", "bytes", at).collect()]
+
+
+def _placed(slim: DataFrame, groups: DataFrame, kept: dict[bytes, bool]) -> DataFrame:
+    """slim, `at`, the positions on the axes, and `kept`: null but for rows of heavy groups, which stay together or don't.
+    Rows of a group take the positions of its first document."""
+    fates = slim.sparkSession.createDataFrame(list(kept.items()), "_kd_key binary, kept boolean")
+    groups = groups.select("key", "first").join(F.broadcast(fates), F.col("key") == F.col("_kd_key"), "left").drop("_kd_key")
     grouped = F.col("first").isNotNull()
-    tie = F.when(grouped & (F.col("bytes") > heaviest), F.xxhash64("key", "id")).otherwise(F.xxhash64("key"))
+    tie = F.when(~F.col("kept"), F.xxhash64("key", "id")).otherwise(F.xxhash64("key"))
     own = lambda c: F.when(grouped, F.col(f"first.{c}")).otherwise(F.col(c))
-    return slim.join(groups, "key", "left").withColumn("at", _positions(F.col("size"), own("lang"), own("source"), tie)).drop("first", "bytes")
+    return slim.join(groups, "key", "left").withColumn("at", _positions(F.col("size"), own("lang"), own("source"), tie)).drop("first")
 
 
 def _descend(rows: DataFrame, level: list[tuple[int, int, int, int, int]], at: Column, node: str) -> DataFrame:
@@ -109,25 +164,31 @@ def _medians(rows: DataFrame, goals: dict[int, tuple[int, float]]) -> dict[int,
     return out
 
 
-def build(rows: DataFrame, leaves: int) -> Tree:
-    """rows: size, at. The tree with `leaves` leaves."""
+def build(rows: DataFrame, leaves: int, items: list[Item] = (), room: float = 0) -> Tree:
+    """rows: size, at. The tree with `leaves` leaves. items go to leaves as a whole; `room` is what a leaf can hold of them."""
     ws = Workspace(rows.sparkSession, "kd")
     tree, open_, following, depth = Tree(), {0: (0, leaves)}, 1, 0  # node -> first shard, number of shards
+    held = {0: list(items)}  # node -> its heavy groups
     rows = ws.cut(rows.withColumn("node", F.lit(0)), "level0")
     while True:
         for n, (first, k) in list(open_.items()):
             if k == 1:
                 tree.shards[n] = first
+                tree.items |= {x.key: first for x in held.pop(n)}
                 del open_[n]
         if not open_:
             return tree
         spread = [F.max(F.shiftrightunsigned(F.element_at("at", i + 1), 32)) - F.min(F.shiftrightunsigned(F.element_at("at", i + 1), 32)) for i in range(AXES)]
         seen = {r[0]: r for r in rows.groupBy("node").agg(F.sum("size"), *spread).collect()}
-        goals = {}
+        goals, sides = {}, {}
         for n, (_, k) in open_.items():
             r = seen.get(n)
             widest = max(range(AXES), key=lambda i: (r[2 + i], -i)) if r else 0
-            goals[n] = (widest, (r[1] if r else 0) * (k // 2) / k)
+            own = held.pop(n)
+            sides[n] = _divided(own, widest, k, room)
+            light = r[1] if r else 0
+            wanted = (light + sum(x.size for x in own)) * (k // 2) / k - sum(x.size for x in sides[n][0])
+            goals[n] = (widest, min(max(wanted, 0), light))
         cuts = _medians(rows, goals)
         level, new = [], {}
         for n, (first, k) in open_.items():
@@ -135,6 +196,7 @@ def build(rows: DataFrame, leaves: int) -> Tree:
             following += 2
             level.append((n, goals[n][0], cuts[n], left, right))
             new[left], new[right] = (first, k // 2), (first + k // 2, k - k // 2)
+            held[left], held[right] = sides[n]
         tree.levels.append(level)
         open_, depth = new, depth + 1
         rows = ws.cut(_descend(rows, level, F.col("at"), "node"), f"level{depth}")
@@ -146,13 +208,19 @@ def _numbered(ws: Workspace, slim: DataFrame, shards: int | None, target_bytes:
     n, total = slim.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if shards is None:
         shards = max(1, -(-total // target_bytes))
-    placed = ws.cut(_placed(slim, int(total / shards * group_share)), "placed")
-    tree = build(placed.select("size", "at"), shards)
+    groups = ws.cut(_groups(slim), "groups")
+    room = total / shards
+    items = _items(groups, int(room * group_share))
+    bins = _emptiest(items, shards, room)
+    placed = ws.cut(_placed(slim, groups, {x.key: b is not None for x, b in zip(items, bins)}), "placed")
+    tree = build(placed.where("kept is null or not kept").select("size", "at"), shards, [x for x, b in zip(items, bins) if b is not None], room)
     x = placed.withColumn("node", F.lit(0))
     for level in tree.levels:
         x = _descend(x, level, F.col("at"), "node")
     shard_of = F.create_map(*[F.lit(v) for pair in tree.shards.items() for v in pair])
-    x = x.withColumn("shard", F.element_at(shard_of, F.col("node"))).drop("node", "at")
+    whole = slim.sparkSession.createDataFrame(list(tree.items.items()), "_kd_item binary, _kd_at int")
+    x = x.join(F.broadcast(whole), F.col("key") == F.col("_kd_item"), "left")
+    x = x.withColumn("shard", F.coalesce(F.col("_kd_at"), F.element_at(shard_of, F.col("node")))).drop("node", "at", "kept", "_kd_item", "_kd_at")
     buckets = max(1, n // shards // per_bucket)
     x = ws.cut(x.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")), "sharded")
     counts = x.groupBy("shard", "bucket").agg(F.count("*").alias("n"))  # shards * buckets rows

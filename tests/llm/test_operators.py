@@ -391,6 +391,40 @@ def test_groups_stay_in_one_shard(spark):
     assert K.shard_documents(df, None, target_bytes=20_000).select("shard").distinct().count() == -(-sum(len(texts[i % 300]) + 1 for i in range(900)) // 20_000)
 
 
+def test_heavy_groups_stay_whole_where_a_shard_holds_them(spark):
+    rng = random.Random(4)
+    texts = [prose(rng, 60) for _ in range(12)]
+    rows = [(k, texts[k % 12], "en" if k % 2 else "de", f"s{k % 7}") for k in range(60)]  # each weighs about a seventh of a shard
+    rows += [(100 + k, texts[0], "en", "s1") for k in range(20)]  # about seven tenths of one
+    rows += [(1000 + k, prose(rng, 20 + k % 30), "en" if k % 3 else "fr", f"s{k % 5}") for k in range(360)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = K.shard_documents(df, 8).collect()
+    by, size = defaultdict(set), Counter()
+    for r in got:
+        by[r.text].add(r.shard)
+        size[r.shard] += len(r.text) + 1
+    assert len(got) == len(rows) and all(len(by[t]) == 1 for t in texts)
+    assert len(size) == 8 and max(size.values()) < 1.05 * min(size.values())
+    many = df.union(spark.range(5000, 5400).selectExpr("id", f"'{texts[1]}'", "'en'", "'s1'"))  # more than a shard holds
+    got = K.shard_documents(many, 8).collect()
+    size, by = Counter(), defaultdict(set)
+    for r in got:
+        by[r.text].add(r.shard)
+        size[r.shard] += len(r.text) + 1
+    assert len(by[texts[1]]) > 1 and all(len(by[t]) == 1 for t in texts if t != texts[1]) and max(size.values()) < 1.1 * min(size.values())
+
+
+def test_items_pack_alike_on_both_sides():
+    rng = random.Random(9)
+    for _ in range(200):
+        k = rng.randrange(2, 9)
+        items = [K.Item(bytes([i]), rng.randrange(1, 60), [rng.randrange(9)] * 3) for i in range(rng.randrange(20))]
+        items = [x for x, b in zip(items, K._emptiest(items, k, 100)) if b is not None]
+        left, right = K._divided(items, 0, k, 100)
+        assert sorted(x.key for x in left + right) == sorted(x.key for x in items)
+        assert None not in K._emptiest(left, k // 2, 100) and None not in K._emptiest(right, k - k // 2, 100)
+
+
 # -- 9 ---------------------------------------------------------------------------------------------------------------
 
 
