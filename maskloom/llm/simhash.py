@@ -144,8 +144,8 @@ def _flips(blocks: int, pick: int, probe: int) -> Column:
     return F.expr(f"array({', '.join(rows)})")
 
 
-def near(queries: DataFrame, table: DataFrame, radius: int = RADIUS, blocks: int = RADIUS + 1, pick: int = 1, probe: int = 0) -> DataFrame:
-    """For each distinct fingerprint (f1, f2) of `queries`: n_within, the rows of `table` within the radius.
+def near_pairs(queries: DataFrame, table: DataFrame, radius: int = RADIUS, blocks: int = RADIUS + 1, pick: int = 1, probe: int = 0) -> DataFrame:
+    """The pairs within the radius, once each: q1, q2, a distinct fingerprint of `queries`, and f1, f2, one of `table`.
 
     More blocks with pick = 2 make keys longer and chance candidates rarer, for tables of billions of rows. With fewer
     blocks than the radius needs, queries also look up keys that differ from theirs by up to `probe` bits."""
@@ -158,10 +158,32 @@ def near(queries: DataFrame, table: DataFrame, radius: int = RADIUS, blocks: int
         q = q.select("q1", "q2", F.element_at(flipped, F.col("x.i")).alias("key"))
     else:
         q = q.withColumn("key", F.explode(block_keys(F.col("q1"), F.col("q2"), blocks, pick)))
-    t = table.groupBy("f1", "f2").agg(F.count("*").alias("rows")).withColumn("key", F.explode(block_keys(F.col("f1"), F.col("f2"), blocks, pick)))
+    t = table.select("f1", "f2").distinct().withColumn("key", F.explode(block_keys(F.col("f1"), F.col("f2"), blocks, pick)))
     hits = q.join(t.hint("merge"), "key").where(distance(F.col("q1"), F.col("q2"), F.col("f1"), F.col("f2")) <= radius)
-    hits = hits.select("q1", "q2", "f1", "f2", "rows").distinct()
-    return hits.groupBy(F.col("q1").alias("f1"), F.col("q2").alias("f2")).agg(F.sum("rows").alias("n_within"))
+    return hits.select("q1", "q2", "f1", "f2").distinct()
+
+
+def near(queries: DataFrame, table: DataFrame, radius: int = RADIUS, blocks: int = RADIUS + 1, pick: int = 1, probe: int = 0) -> DataFrame:
+    """For each distinct fingerprint (f1, f2) of `queries`: n_within, the rows of `table` within the radius."""
+    return _counted(near_pairs(queries, table, radius, blocks, pick, probe), table)
+
+
+def _counted(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    rows = table.groupBy("f1", "f2").agg(F.count("*").alias("rows"))
+    return pairs.join(rows, ["f1", "f2"]).groupBy(F.col("q1").alias("f1"), F.col("q2").alias("f2")).agg(F.sum("rows").alias("n_within"))
+
+
+def near_documents(queries: DataFrame, table: DataFrame, radius: int = RADIUS, blocks: int = 6) -> DataFrame:
+    """Which documents are within the radius: doc_id (of `queries`), near_doc_id (of `table`) and their distance in bits; a
+    document's own doc_id is left out, once. Both tables hold doc_id, f1, f2; repeated rows count as rows, and null ids
+    stay. One row a pair of documents: large groups of near copies make as many as they have pairs with queries."""
+    pairs = near_pairs(queries, table, radius, blocks, probe=least_probe(radius, blocks))
+    asked = queries.select(F.col("doc_id"), F.col("f1").alias("q1"), F.col("f2").alias("q2"))
+    w = Window.partitionBy("doc_id", "near_doc_id", "turn").orderBy("bits")
+    asked = asked.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("q1", "q2")))
+    met = asked.join(pairs, ["q1", "q2"]).join(table.select(F.col("doc_id").alias("near_doc_id"), "f1", "f2"), ["f1", "f2"])
+    met = met.withColumn("bits", distance(*map(F.col, ("q1", "q2", "f1", "f2")))).withColumn("i", F.row_number().over(w))
+    return met.where(~((F.col("i") == 1) & F.col("doc_id").eqNullSafe(F.col("near_doc_id")))).select("doc_id", "near_doc_id", F.col("bits").cast("int").alias("bits"))
 
 
 def edited_fingerprints(docs: DataFrame, radius: int = RADIUS, blocks: int = 6) -> DataFrame:

@@ -204,6 +204,18 @@ def test_simhash_counts_near_copies(spark):
     assert any(d > 6 for d in apart) and [got[100 * k].n_near for k in range(6)] == [1] * 6
 
 
+def test_near_documents_are_named(spark):
+    rng = random.Random(7)
+    base = [rng.getrandbits(128) for _ in range(8)]
+    points = [(i, b) for i, b in enumerate(base)] + [(100 + 10 * i + k, b ^ sum(1 << j for j in rng.sample(range(128), 4 * k))) for i, b in enumerate(base) for k in range(8)]
+    points += [(3, base[3]), (None, base[4])]  # a repeated row, a null id
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    t = spark.createDataFrame([(i, signed(p >> 64), signed(p & (1 << 64) - 1)) for i, p in points], "doc_id long, f1 long, f2 long")
+    got = Counter((r.doc_id, r.near_doc_id, r.bits) for r in H.near_documents(t.where("doc_id < 8"), t).collect())
+    asked = [(n, i, p) for n, (i, p) in enumerate(points) if i is not None and i < 8]
+    assert got == Counter((i, j, d) for n, i, p in asked for m, (j, x) in enumerate(points) if n != m and (d := bin(p ^ x).count("1")) <= 16)
+
+
 # -- 4 ---------------------------------------------------------------------------------------------------------------
 
 
