@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from .common import Workspace, chunks, cut_of_largest
 
 CHUNK, BITS, WINDOW, LENGTH = 500_000, 15, 16, 1000
+STRETCH, NEXT = 32, 8
 BUCKETS = (1 << BITS) + 2  # two more: windows of WINDOW bytes that are new in their text, and repeated ones
 
 
@@ -36,9 +37,26 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
+def _inside(starts: np.ndarray, end: int, h: np.ndarray) -> np.ndarray:
+    """Positions chosen by content in stretches that no start interrupts: from each STRETCH bytes after a start on, the
+    first smallest hash of every NEXT neighbours. Repeated content has the same ones wherever it stands."""
+    ends = np.append(starts[1:], end)
+    far = ends - starts >= STRETCH + NEXT
+    if not far.any():
+        return starts[:0]
+    p = _ranges(starts[far] + STRETCH, ends[far] - NEXT + 1)
+    least, at = h[p], np.zeros(len(p), np.int64)
+    for k in range(1, NEXT):
+        x = h[p + k]
+        less = x < least
+        least[less], at[less] = x[less], k
+    return np.unique(p + at)
+
+
 class _Events:
     """What the models count in a slice of texts: buckets of the n-grams that start at each byte, by order, and for each
-    window of WINDOW bytes at the start of a word its document and whether it repeats an earlier one of its text."""
+    window of WINDOW bytes its document and whether it repeats an earlier one of its text. Windows start at words, and
+    in long stretches without spaces or line feeds (tabs, scripts without spaces) where their content says."""
 
     def __init__(self, b: pa.RecordBatch):
         col = b.column(b.schema.get_field_index("text")).cast(pa.large_string()).fill_null("")
@@ -51,6 +69,7 @@ class _Events:
         with np.errstate(over="ignore"):
             self.grams = {3: ((three * np.uint32(0x9E3779B1) + np.uint32(0x7F4A7C15)) >> np.uint32(32 - BITS)).astype(np.intp), 4: ((four * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS)).astype(np.intp)}
             starts = np.unique(np.concatenate([np.flatnonzero((raw == 32) | (raw == 10)) + 1, self.at[:-1]]))
+            starts = np.union1d(starts, _inside(starts, len(raw), self.grams[4]))
             self.document = np.searchsorted(self.at, starts, "right") - 1
             fits = (starts + WINDOW <= self.at[np.minimum(self.document + 1, len(col))]) & (self.document < len(col))
             starts, self.document = starts[fits], self.document[fits]

@@ -322,6 +322,21 @@ def test_quality_sums_against_brute_force():
     assert e.counts().sum() == n.sum()
 
 
+def test_repetition_is_seen_without_white_space():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    once = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(100))
+    other = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400))
+    tabs = prose(rng, 60).replace(" ", "\t")
+    texts = [once * 4, other, (tabs + "\t") * 4, "x" * 500, "", other]
+    e = Q._Events(pa.RecordBatch.from_pydict({"text": texts}))
+    share = [e.repeated[e.document == k].mean() if (e.document == k).any() else None for k in range(len(texts))]
+    assert all(share[k] > 0.6 for k in (0, 2, 3)) and share[1] == share[5] == 0 and share[4] is None
+    alone = Q._Events(pa.RecordBatch.from_pydict({"text": [texts[2]]}))
+    assert alone.repeated.tolist() == e.repeated[e.document == 2].tolist()
+
+
 def test_quality_selects_good_documents(spark, no_docs):
     rng = random.Random(4)
     docs = [(i, prose(rng, 40) if i % 4 else " ".join(f"{w}###" for w in prose(rng, 40).split()), "x") for i in range(200)]
