@@ -9,7 +9,8 @@ system holds them, and failed tasks leave nothing behind. They are read as binar
 Content-Length, so payloads may contain anything, line ends and record headers included.
 
 Defined results: a null payload is empty; payloads shorter than `least` bytes are always written in full; of pages with equal
-payloads the smallest page_id is the response (each of its rows, if repeated) and the others refer to it; a null page_id
+payloads the smallest page_id is the response (each of its rows, if repeated; all have identifiers of their own) and the
+others refer to it; a null page_id
 never leads a group that has another; a null url is the empty target; other columns are ignored.
 """
 
@@ -21,7 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -61,13 +62,23 @@ def capture_plan(pages: DataFrame, least: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "html", "digest", F.when((F.octet_length("html") >= least) & ~F.col("page_id").eqNullSafe(F.col("lead")), F.col("lead")).alias("refers_to"))
 
 
+def _numbered(pages: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan and `turn`: 1, 2, ... for rows of one page and payload. Only rows of repeated page_ids are dealt around."""
+    again = pages.groupBy(F.col("page_id").cast("long").alias("_again")).count().where("count > 1").select("_again")
+    if again.isEmpty():
+        return plan.withColumn("turn", F.lit(1))
+    same = F.col("page_id").eqNullSafe(F.col("_again"))
+    w = Window.partitionBy("page_id", "digest").orderBy("url")
+    return plan.join(again, same, "left_anti").withColumn("turn", F.lit(1)).union(plan.join(again, same, "left_semi").withColumn("turn", F.row_number().over(w)))
+
+
 def write_warc(pages: DataFrame, path: str, least: int = 0, per_file: int = 2000, date: str = "2024-01-01T00:00:00Z") -> None:
     """Archives of at most `per_file` records each under `path`."""
-    plan = capture_plan(pages, least)
+    plan = _numbered(pages, capture_plan(pages, least))
     page, url, html = F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.col("url"), F.col("html")
     uri = F.regexp_replace(url, r"[\r\n]", "")
     when = ("WARC-Date", F.lit(date))
-    own = F.concat(page, F.lit(":"), F.col("digest"))
+    own = F.concat(page, F.lit(":"), F.col("digest"), F.when(F.col("turn") > 1, F.concat(F.lit(":"), F.col("turn").cast("string"))).otherwise(F.lit("")))
     response = _id("response", own)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit(CRLF * 2))
     is_revisit = F.col("refers_to").isNotNull()
@@ -152,13 +163,8 @@ def archive_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     ws = Workspace(spark, "warc")
     path = ws.path("archives")
     write_warc(pages, path, least)
-    records = read_records(spark, path, keep_payload=False).select(F.coalesce("concurrent_to", "id").alias("capture"), "type", "uri", "digest", "payload_bytes", "payload_digest", "http", "fields")
-    # repeated rows of one page and payload share an identifier; their metadata records tell how many there are
-    parts = records.select(
-        "capture", "type", F.when(F.col("type") == "metadata", F.struct(F.col("fields")["pageId"].try_cast("long").alias("page_id"), F.col("fields")["payloadLength"].cast("long").alias("payload_bytes"), F.col("fields")["refersToPage"].try_cast("long").alias("refers_to"))).alias("m"),
-        F.when(F.col("type").isin("response", "revisit"), F.struct(F.col("type").alias("record_type"), "uri", "digest", F.when(F.col("type") == "response", F.col("payload_digest") == F.col("digest")).alias("intact"))).alias("p"),
-        F.when(F.col("type") == "request", F.col("http")).alias("q"),
+    r, fields = F.col("response"), F.col("metadata.fields")
+    return read_captures(spark, path, keep_payload=False).select(
+        fields["pageId"].try_cast("long").alias("page_id"), fields["payloadLength"].cast("long").alias("payload_bytes"), r["digest"].alias("payload_digest"), r["type"].alias("record_type"),
+        fields["refersToPage"].try_cast("long").alias("refers_to"), r["uri"].alias("url"), F.col("request.http").alias("request_line"), F.when(r["type"] == "response", r["payload_digest"] == r["digest"]).alias("intact"),
     )
-    met = parts.groupBy("capture").agg(F.collect_list("m").alias("m"), F.any_value("p", ignoreNulls=F.lit(True)).alias("p"), F.any_value("q", ignoreNulls=F.lit(True)).alias("q"))
-    one = met.select(F.explode("m").alias("m"), "p", "q")
-    return one.select("m.page_id", "m.payload_bytes", F.col("p.digest").alias("payload_digest"), F.col("p.record_type"), "m.refers_to", F.col("p.uri").alias("url"), F.col("q").alias("request_line"), F.col("p.intact"))

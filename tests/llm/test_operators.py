@@ -388,6 +388,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert W.archive_round_trip(pages, least=1000).where("record_type <> 'response'").count() == 0
 
 
+def test_repeated_pages_are_captures_of_their_own(spark, tmp_path):
+    rows = [(1, "http://a", "x"), (1, "http://a", "x"), (1, "http://b", "x"), (2, "http://c", "x"), (None, "n", "n"), (None, "n", "n")]
+    W.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = W.read_captures(spark, str(tmp_path / "w")).collect()
+    assert Counter((c.metadata.fields["pageId"], c.response.uri, c.request.uri) for c in got) == Counter((str(i or "null"), u, u) for i, u, _ in rows)
+    ids = {c.response.id for c in got if c.response.type == "response"}
+    assert len({c.capture for c in got}) == len(rows) and all(c.response.refers_to in ids for c in got if c.response.type == "revisit")
+
+
 # -- 8 ---------------------------------------------------------------------------------------------------------------
 
 
