@@ -8,33 +8,46 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space of the word rule `[^\x20\x09-\x0D]+`.
 SPACE = " \t\n\x0b\x0c\r"
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Bytes of an Arrow batch: Spark's own bound is 64 MB, which JVM and Python both hold, more than once, for each task.
+BATCH_BYTES = 4 << 20
 _own_dir: dict[str, str] = {}
 
 
 def ascii_lower(text: str) -> str:
     """A-Z to a-z and nothing else (str.lower() would also fold, and sometimes lengthen, other letters)."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES: memory for a task then follows neither the
+    number of rows in a batch nor their mean length. A lower bound that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 class Workspace:
     """Tables written to cut lineage, in the shared folder that spark.checkpoint.dir names.
 
-    Where that is unset (tests, a laptop) a temporary folder is made once per application. Executors only ever reach
-    these tables through Spark's readers and writers, so any Hadoop file system will do.
+    Where that is unset and Spark runs in this one process (tests, a laptop) a temporary folder is made once per application;
+    on a cluster, where executors would not see it, that is an error. Executors only ever reach these tables through
+    Spark's readers and writers, so any Hadoop file system will do.
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext._jsc.sc().isLocal():
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             app = spark.sparkContext.applicationId
             base = _own_dir.setdefault(app, tempfile.mkdtemp(prefix="maskloom-"))
         self.spark, self.root = spark, f"{base.rstrip('/')}/maskloom-{name}-{uuid.uuid4().hex[:12]}"
@@ -69,13 +82,20 @@ def chunks(batches: Iterable[pa.RecordBatch], chars: int, text: str = "text") ->
                 yield b.slice(lo, hi - lo)
 
 
-def word_codes(token_lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(codes of all tokens end to end, length of each list, distinct tokens)."""
-    lens = np.fromiter(map(len, token_lists), dtype=np.int64, count=len(token_lists))
-    flat = np.empty(int(lens.sum()), dtype=object)
-    flat[:] = [w for ws in token_lists for w in ws]
-    codes, uniq = pd.factorize(flat)
-    return codes.astype(np.int32), lens, list(uniq)
+class Codes(dict):
+    """Numbers words as they come; only distinct ones stay in memory."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        return code
+
+
+def word_codes(token_lists: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(codes of all tokens end to end, length of each list, distinct tokens). Lists may come one by one."""
+    known = Codes()
+    parts = [np.fromiter(map(known.__getitem__, ws), np.int32, len(ws)) for ws in token_lists]
+    lens = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    return np.concatenate(parts) if parts else np.empty(0, np.int32), lens, list(known)
 
 
 def hash64(words: Iterable[str], seed: int = 0) -> np.ndarray:

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, ascii_lower, chunks, hash64, mix64
+from .common import Codes, Workspace, ascii_lower, chunks, hash64, mix64
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BLOCK = 6_000_000
@@ -72,7 +72,7 @@ def _blocks(parts: int, fold: int):
         ctx, serial = TaskContext.get(), 0
         ids: list[int | None] = []
         parts_of: list[np.ndarray] = []
-        known, size = _Codes(), 0
+        known, size = Codes(), 0
 
         def block() -> pa.RecordBatch:
             nonlocal serial
@@ -94,21 +94,13 @@ def _blocks(parts: int, fold: int):
                 size += len(t or "") + 1
                 if size >= BLOCK:
                     yield block()
-                    ids, parts_of, known, size = [], [], _Codes(), 0
+                    ids, parts_of, known, size = [], [], Codes(), 0
         if ids:
             yield block()
 
     return run
 
 
-class _Codes(dict):
-    """Numbers words as they come; only distinct ones stay in memory."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = code = len(self)
-        return code
-
-
 _BLOCKS = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lens", pa.binary()), ("words", pa.binary()), ("codes", pa.binary())])
 _BLOCKS_DDL = "block long, ids array<long>, held array<boolean>, lens binary, words binary, codes binary"
 
