@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import bounded_batches, chunks
 
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 #: Kinds in the order that breaks ties between spans with the same start.
 KINDS = ("assign", "access", "hex", "crc_token", "jwt", "pem", "prefixed")
 
@@ -31,7 +31,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # the maximal runs [0-9a-f]+ of 16 or more
 _CRC = re.compile(r"(gh[pousr]_|npm_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.[A-Za-z0-9_-]+")
+_RUN = re.compile(r"[A-Za-z0-9_-]+")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
 _PREFIXED = re.compile(r"(?:sk_live_|rk_live_)[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{16,}|AIza[A-Za-z0-9_-]{35}")
 #: Keywords, lower-cased, and the kinds whose expression may start there.
@@ -91,12 +92,16 @@ def find_spans(text: str | None, automaton: ahocorasick.Automaton) -> list[tuple
         hits.setdefault(kind, []).append(last - n + 1)
     for kind, starts in hits.items():
         rule, counts = _RULES[kind]
-        end = 0
+        end = dead = 0
         for s in sorted(starts):
-            if s >= end and (m := rule.match(text, s)):
+            if s < end or s < dead:
+                continue
+            if m := rule.match(text, s):
                 end = m.end()
                 if counts(m):
                     found.append((s, KINDS.index(kind), end))
+            elif kind == "jwt" and (run := _RUN.match(text, s)):
+                dead = run.end()  # nor does a token begin later in a run of which none began here: what follows it is the same
     return sorted(found)
 
 
@@ -125,6 +130,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), *((k, pa.int64()) for k in ("n_assig
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row per document: counts by base kind, the digest of the base spans, all spans, and how many of the added
     kinds (validated by checksum, header or fixed prefix) were found."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_validated long"
     )
@@ -133,6 +139,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents, all columns kept, with every span (overlapping ones merged) replaced by `mark`."""
     names, schema = docs.columns, docs.schema
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
