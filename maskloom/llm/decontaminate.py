@@ -6,9 +6,9 @@ with separators between. The index is a Burrows-Wheeler transform in a wavelet m
 at once, each step two ranks per window; occurrences are located by walking to sampled suffix positions (run starts and
 every `RATE`-th word); overlapping occurrences merge into spans of words to remove.
 
-The benchmark's windows travel with the tasks in blocks of at most `BLOCK_WORDS` words. One block is the usual case; a
-larger benchmark takes further passes over the same rows, pipelined in one stage, each adding to the spans found so far.
-No shuffle, no join; memory is bounded by a chunk, the longest text and a block.
+The benchmark's windows travel with the tasks in blocks of about `BLOCK_WORDS` words. One block is the usual case; a
+larger benchmark takes further passes, each over the written result of the one before and adding to the spans found so far.
+No shuffle, no join; memory, the driver's too, is bounded by a chunk, the longest text and a block.
 
 Defined results: null and empty texts have no words, no hits and are not contaminated; a benchmark without usable items hits
 nothing; items with a null id or no words are ignored; equal items all count; repeated rows are separate rows; other
@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, chunks
+from .common import Workspace, ascii_lower, bounded_batches, chunks
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-CHUNK, RATE, BLOCK_WORDS = 4_000_000, 8, 4_000_000
+CHUNK, RATE, BLOCK_WORDS = 1_000_000, 8, 4_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -210,23 +210,32 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, size: int = 13, leak:
     items (ids with a window in the text)."""
     while leak in docs.columns:
         leak += "_"
-    blocks, held = [[]], 0
-    # the benchmark is a stated query set; its rows stream through the driver block by block
-    for item, text in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null").toLocalIterator():
-        if words := words_of(text):
-            if held > BLOCK_WORDS:
-                blocks.append([])
-                held = 0
-            blocks[-1].append((item, words))
-            held += len(words)
     kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.LongType()))])
     out = docs.withColumn("text", F.col("text").cast("string")).withColumn(leak, F.lit(None).cast(kind))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
-    for block in blocks:
-        out = out.mapInArrow(_pass(Windows(block, size), "text", leak), schema)
+    bounded_batches(docs.sparkSession)
+    ws, step = Workspace(docs.sparkSession, "benchmark"), 0
+    for block in _blocks(benchmark):
+        if step:  # what is found so far is written, so that the driver and the plan hold one block at a time
+            out = ws.cut(out, f"pass{step}")
+            ws.drop(f"pass{step - 1}")
+        out, step = out.mapInArrow(_pass(Windows(block, size), "text", leak), schema), step + 1
     return out
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
+    """The benchmark, a stated query set, in blocks of about BLOCK_WORDS words; one, if empty, at least."""
+    block, held = [], 0
+    for item, text in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null").toLocalIterator():
+        if words := words_of(text):
+            if held > BLOCK_WORDS:
+                yield block
+                block, held = [], 0
+            block.append((item, words))
+            held += len(words)
+    yield block
+
+
 def n_hit(leak: Column) -> Column:
     spans = leak["spans"]
     return F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -244,9 +253,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> Data
     return found.select("doc_id", leak["n_words"].alias("n_words"), n_hit(leak).alias("n_hit"), F.size(leak["items"]).cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), is_contaminated(leak).alias("contaminated"), F.array_join(leak["spans"].cast("array<string>"), ",").alias("spans"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
-    """The documents that are not contaminated, with their columns as they were."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int | None = 20) -> DataFrame:
+    """The documents that are not contaminated, with their columns as they were. share: one hit word in so many words
+    makes a document contaminated; None: any hit does."""
     leak = "_leak"
     while leak in docs.columns:
         leak += "_"
-    return match_benchmark(docs, benchmark, size, leak).where(~is_contaminated(F.col(leak))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = match_benchmark(docs, benchmark, size, leak)
+    bad = is_contaminated(F.col(leak), share) if share else n_hit(F.col(leak)) > 0
+    return found.where(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])
