@@ -12,7 +12,7 @@ shards / group_share items, which the driver holds. Only groups that find no roo
 than a whole shard, and some of about that weight where there are more of them than shards.
 
 Medians are found by sums over ranges of positions, narrowed 13 bits at a time: each round is one aggregation, of which the
-driver sees at most 8192 sums for each open node. A tree is a table of cuts; applying it is a broadcast join of at most as
+driver sees one row for each open node. A tree is a table of cuts; applying it is a broadcast join of at most as
 many rows as shards for each level. Slots are numbered from counts by (shard, bucket), so no shard is sorted in one task.
 
 Law `bytes`: shards have nearly equal sums of sizes, off by no more than a group (or the largest document) at each cut.
@@ -133,34 +133,32 @@ def _descend(rows: DataFrame, level: list[tuple[int, int, int, int, int]], at: C
 
 
 def _medians(rows: DataFrame, goals: dict[int, tuple[int, float]]) -> dict[int, int]:
-    """For each node (axis, bytes wanted on the left) the cut whose left side comes nearest."""
+    """For each node (axis, bytes wanted on the left) the cut whose left side comes nearest. A round sums bytes by range of
+    positions and finds, on the cluster, the range that reaches the goal: the driver sees one row for each open node."""
     spark = rows.sparkSession
     state = {n: (0, 0) for n in goals}  # start of the open range, bytes before it
     out: dict[int, int] = {}
     for shift in (50, 37, 24, 11, 0):
         width = min(BINS, 63 - shift) if shift else 11
-        open_ = [(n, goals[n][0], lo) for n, (lo, _) in state.items() if n not in out]
+        open_ = [(n, goals[n][0], lo, before, float(goals[n][1])) for n, (lo, before) in state.items() if n not in out]
         if not open_:
             break
-        plan = spark.createDataFrame(open_, "node int, axis int, lo long")
+        plan = spark.createDataFrame(open_, "node int, axis int, lo long, before long, goal double")
         x = rows.join(F.broadcast(plan), "node").withColumn("p", F.element_at("at", F.col("axis") + 1) - F.col("lo"))
         x = x.where((F.col("p") >= 0) & (F.shiftrightunsigned("p", shift + width) == 0)) if shift + width < 63 else x
-        got: dict[int, list[tuple[int, int]]] = {}
-        for r in x.groupBy("node", F.shiftrightunsigned("p", shift).cast("int").alias("b")).agg(F.sum("size").alias("w")).collect():
-            got.setdefault(r["node"], []).append((r["b"], r["w"]))
-        for n, _, lo in open_:
-            goal, before = goals[n][1], state[n][1]
-            for b, w in sorted(got.get(n, [])):
-                if before + w >= goal:
-                    start = lo + (b << shift)
-                    if shift == 0:  # a single position: to the side that is nearer
-                        out[n] = start if goal - before <= before + w - goal else start + 1
-                    else:
-                        state[n] = (start, before)
-                    break
-                before += w
-            else:
+        sums = x.groupBy("node", "before", "goal", F.shiftrightunsigned("p", shift).cast("int").alias("b")).agg(F.sum("size").alias("w"))
+        run = sums.withColumn("upto", F.col("before") + F.sum("w").over(Window.partitionBy("node").orderBy("b")))  # at most 2 ** BINS rows a node
+        got = {r[0]: r for r in run.where("upto >= goal").groupBy("node").agg(F.min(F.struct("b", "w", "upto")).alias("r")).select("node", "r.b", "r.w", "r.upto").collect()}
+        for n, _, lo, _, goal in open_:
+            if n not in got:
                 out[n] = lo + (1 << (shift + width)) if shift + width < 63 else (1 << 63) - 1
+                continue
+            _, b, w, upto = got[n]
+            start = lo + (b << shift)
+            if shift == 0:  # a single position: to the side that is nearer
+                out[n] = start if goal - (upto - w) <= upto - goal else start + 1
+            else:
+                state[n] = (start, upto - w)
     return out
 
 
@@ -217,10 +215,11 @@ def _numbered(ws: Workspace, slim: DataFrame, shards: int | None, target_bytes:
     x = placed.withColumn("node", F.lit(0))
     for level in tree.levels:
         x = _descend(x, level, F.col("at"), "node")
-    shard_of = F.create_map(*[F.lit(v) for pair in tree.shards.items() for v in pair])
+    leaves = slim.sparkSession.createDataFrame(list(tree.shards.items()), "_kd_leaf int, _kd_shard int")  # a row for each shard
+    x = x.join(F.broadcast(leaves), F.col("node") == F.col("_kd_leaf"), "left")
     whole = slim.sparkSession.createDataFrame(list(tree.items.items()), "_kd_item binary, _kd_at int")
     x = x.join(F.broadcast(whole), F.col("key") == F.col("_kd_item"), "left")
-    x = x.withColumn("shard", F.coalesce(F.col("_kd_at"), F.element_at(shard_of, F.col("node")))).drop("node", "at", "kept", "_kd_item", "_kd_at")
+    x = x.withColumn("shard", F.coalesce("_kd_at", "_kd_shard")).drop("node", "at", "kept", "_kd_item", "_kd_at", "_kd_leaf", "_kd_shard")
     buckets = max(1, n // shards // per_bucket)
     x = ws.cut(x.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")), "sharded")
     counts = x.groupBy("shard", "bucket").agg(F.count("*").alias("n"))  # shards * buckets rows
