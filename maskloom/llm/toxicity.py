@@ -1,7 +1,8 @@
-"""Toxicity by multiple-instance learning: a document is a bag of sentences, a sentence is toxic with probability
-sigmoid(b + sum of the weights of its distinct words), and a document by noisy-or, 1 - prod(1 - p(sentence)). Only
-documents carry labels; the noisy-or sends the blame for a toxic document to the sentences that explain it, and the same
-sentence scores locate the offending ones.
+"""Toxicity by multiple-instance learning: a document is a bag of sentences, a sentence's log-odds are b + the sum of the
+weights of its distinct words, and documents follow by noisy-or with a leak, 1 - (1 - leak) * prod(1 - p(sentence)), where
+p is what the sentence has beyond one without any weighted word: 1 - p = (1 - sigmoid(s)) / (1 - sigmoid(b)). So plain
+sentences add nothing, however many a text has. Only documents carry labels; the noisy-or sends the blame for a toxic
+document to the sentences that explain it, and the same sentence scores locate the offending ones.
 
 Fitting uses a bounded sample of labelled rows: at most `per_class` documents of each label, those with the smallest hash
 of doc_id. Their hashed words come to the driver (about 2 KB a document), where the few thousand weights that matter are
@@ -9,7 +10,7 @@ fitted by full-batch gradient steps. Scoring is one row-local Arrow pass over al
 
 Defined results: null and empty texts are one sentence without words; rows without a doc_id are scored and never learnt
 from; labels that are null are ignored, contradictory ones count as toxic; without labels of both kinds every score is that
-of the untrained bias; repeated rows are separate rows; other columns are ignored.
+of the untrained leak; repeated rows are separate rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, hash64, word_codes
+from .common import bounded_batches, chunks, hash64, word_codes
 
 TOKENS = re.compile(r"[^\W\d_]+|[.!?\n]")
 STOPS = frozenset(".!?\n")
@@ -35,8 +36,7 @@ def fold_of(doc_id: Column, parts: int = 3) -> Column:
 
 def _bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, sentence) of each distinct word of each sentence, and the document of each sentence."""
-    lists = [TOKENS.findall(t.lower()) if t else [] for t in texts]
-    codes, lens, uniq = word_codes([["."] + x for x in lists])  # a stop in front begins the first sentence
+    codes, lens, uniq = word_codes([".", *(TOKENS.findall(t.lower()) if t else ())] for t in texts)  # a stop in front begins the first sentence
     stop = np.array([w in STOPS for w in uniq], dtype=bool)
     buckets = (hash64(uniq, 7) % np.uint64(BUCKETS)).astype(np.int64)
     is_stop = stop[codes]
@@ -74,12 +74,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, allowed:
     return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).join(F.broadcast(picked), "id").groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")  # copies count once
 
 
-def fit(toxic: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150, least: int = 4, surprise: float = 4.0) -> tuple[np.ndarray, float]:
-    """(weight of each bucket, bias). Only words in `least` sampled documents or more, and toxic ones
+def fit(toxic: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 150, least: int = 4, surprise: float = 4.0) -> tuple[np.ndarray, float, float]:
+    """(weight of each bucket, bias of a sentence, log-odds of the leak). Only words in `least` sampled documents or more, and toxic ones
     by `surprise` standard errors more often than by chance, have a weight."""
-    weights, bias = np.zeros(BUCKETS), -5.0
+    weights, bias, leak = np.zeros(BUCKETS), -5.0, -5.0
     if not len(toxic) or toxic.min() == toxic.max():
-        return weights, bias
+        return weights, bias, leak
     n = np.array([x[2] for x in bags])
     first = np.cumsum(n) - n
     document = np.repeat(np.arange(len(n)), n)
@@ -95,27 +95,28 @@ def fit(toxic: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray, int]], round
     bucket, sentence = bucket[keep], sentence[keep]
     used, index = np.unique(bucket, return_inverse=True)
     if not len(used):
-        return weights, bias
+        return weights, bias, leak
     n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
     w = np.clip(np.log((df1[used] + 0.5) / (n1 + 1)) - np.log((df[used] - df1[used] + 0.5) / (n0 + 1)), 0, 4)
-    b, y = bias, toxic.astype(bool)
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    b, c, y = bias, leak, toxic.astype(bool)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    m, v = np.zeros(len(w) + 2), np.zeros(len(w) + 2)
     for t in range(1, rounds + 1):
         s = b + np.bincount(sentence, weights=w[index], minlength=len(document))
-        p = 1 / (1 + np.exp(-s))
-        q = np.exp(np.bincount(document, weights=-np.logaddexp(0, s), minlength=len(n)))  # no sentence is toxic
-        scale = np.where(y, -q / np.maximum(1 - q, 1e-9), 1.0)
-        gs = p * scale[document] / len(n)
-        g = np.append(np.bincount(index, weights=gs[sentence], minlength=len(w)), gs.sum())
+        p = sigmoid(s)
+        q = np.exp(np.bincount(document, weights=np.logaddexp(0, b) - np.logaddexp(0, s), minlength=len(n)) - np.logaddexp(0, c))  # nothing is toxic
+        scale = np.where(y, -q / np.maximum(1 - q, 1e-9), 1.0) / len(n)
+        gs = p * scale[document]
+        g = np.concatenate([np.bincount(index, weights=gs[sentence], minlength=len(w)), [((p - sigmoid(b)) * scale[document]).sum(), scale.sum() * sigmoid(c)]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b, c = w - step[:-2], min(b - step[-2], -2.0), c - step[-1]
         w = np.maximum(w - 0.01, 0)  # a word that the others explain ends at nothing
     weights[used] = w
-    return weights, float(b)
+    return weights, float(b), float(c)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, parts: int = 3, fold: int = 1) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, parts: int = 3, fold: int = 1) -> tuple[np.ndarray, float, float]:
     """Learns from rows outside the held-out fold."""
     sample = labelled_sample(docs, labels, per_class, fold_of(F.col("id"), parts) != fold)
     rows = sample.mapInArrow(_sample_bags, "toxic int, buckets binary, sentences binary, n long").collect()
@@ -136,7 +137,7 @@ def sentence_bounds(text: str) -> list[tuple[int, int]]:
     return list(zip([0, *[x + 1 for x in stops]], [*[x + 1 for x in stops], len(text)]))
 
 
-def _score(weights: np.ndarray, bias: float, threshold: float):
+def _score(weights: np.ndarray, bias: float, leak: float, threshold: float):
     nonzero = np.flatnonzero(weights)
     values = weights[nonzero].astype(np.float32)
 
@@ -146,14 +147,14 @@ def _score(weights: np.ndarray, bias: float, threshold: float):
         for b in chunks(batches, CHUNK):
             texts = b.column("text").to_pylist()
             s, document = sentence_scores(texts, full, bias)
-            none = np.bincount(document, weights=-np.logaddexp(0, s), minlength=b.num_rows)
-            score = -np.expm1(none)
+            none = np.bincount(document, weights=np.logaddexp(0, bias) - np.logaddexp(0, s), minlength=b.num_rows)
+            score = np.clip(-np.expm1(none - np.logaddexp(0, leak)), 0, 1)
             first = np.searchsorted(document, np.arange(b.num_rows))
             found = []
             for k, t in enumerate(texts):
                 if score[k] >= threshold and t:
                     own = s[first[k] : first[k + 1] if k + 1 < b.num_rows else len(s)]
-                    at = sentence_bounds(t.lower())
+                    at = sentence_bounds(t)
                     found.append(",".join(f"{at[i][0]}:{at[i][1]}" for i in np.flatnonzero(own >= min(0, own.max())) if i < len(at)))
                 else:
                     found.append("")
@@ -163,9 +164,10 @@ def _score(weights: np.ndarray, bias: float, threshold: float):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = 3000, parts: int = 3, fold: int = 1) -> DataFrame:
-    """One row per document: held_out, score, predicted, and the offending sentences (start:end, code points of the
-    lower-cased text) of those predicted toxic."""
-    weights, bias = train(docs, labels, per_class, parts, fold)
+    """One row per document: held_out, score, predicted, and the offending sentences (start:end, code points) of those
+    predicted toxic."""
+    bounded_batches(docs.sparkSession)
+    weights, bias, leak = train(docs, labels, per_class, parts, fold)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scored = rows.mapInArrow(_score(weights, bias, threshold), "doc_id long, score double, sentences string")
+    scored = rows.mapInArrow(_score(weights, bias, leak, threshold), "doc_id long, score double, sentences string")
     return scored.select("doc_id", (F.coalesce(fold_of(F.col("doc_id"), parts), F.lit(-1)) == fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "sentences")
