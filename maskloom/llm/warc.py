@@ -164,7 +164,8 @@ def archive_round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     path = ws.path("archives")
     write_warc(pages, path, least)
     r, fields = F.col("response"), F.col("metadata.fields")
+    full = r["type"] == "response"  # of a revisit only the header knows the payload, which is not in its record
     return read_captures(spark, path, keep_payload=False).select(
-        fields["pageId"].try_cast("long").alias("page_id"), fields["payloadLength"].cast("long").alias("payload_bytes"), r["digest"].alias("payload_digest"), r["type"].alias("record_type"),
-        fields["refersToPage"].try_cast("long").alias("refers_to"), r["uri"].alias("url"), F.col("request.http").alias("request_line"), F.when(r["type"] == "response", r["payload_digest"] == r["digest"]).alias("intact"),
+        fields["pageId"].try_cast("long").alias("page_id"), F.when(full, r["payload_bytes"]).otherwise(fields["payloadLength"].cast("long")).alias("payload_bytes"), F.when(full, r["payload_digest"]).otherwise(r["digest"]).alias("payload_digest"), r["type"].alias("record_type"),
+        fields["refersToPage"].try_cast("long").alias("refers_to"), r["uri"].alias("url"), F.col("request.http").alias("request_line"), F.when(full, r["payload_digest"] == r["digest"]).alias("intact"),
     )
