@@ -10,8 +10,11 @@ function. Equal sets form a class; classes are linked where the Jaccard index of
      Pairs that overlap in MEET values are candidates.
    - Classes with many hot values among their smallest (large groups of near copies; short texts around a passage that many
      documents share) are also listed under pairs of minima of sketch bins. Long lists of those are first resolved around
-     a hub: the member nearest to the others is compared with all; then only members that are still in different
-     components are compared with each other, so a group of m near copies costs about m comparisons, not m * m.
+     a hub: the member nearest to the others is compared with all, so a group of m near copies costs about m comparisons,
+     not m * m. Where then HOT members at most are outside a list's largest component, those are compared with all. The
+     other lists are split: their members are listed anew under more and longer keys (4, 8, then 12 minima of SLOTS slots
+     of the full set). Documents that merely mix the same passages part at once. What the longest keys do not split is
+     compared in blocks, members of different components alone.
 4. The union of two sketches estimates the Jaccard index; pairs below the threshold by more than 5 standard errors go.
 5. The remaining pairs are verified on their full sets, recomputed from the two texts.
 6. Linked classes meet in components by minimum labels with pointer jumping, all in DataFrames.
@@ -26,6 +29,7 @@ other columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -38,28 +42,30 @@ from pyspark.sql import functions as F
 from .common import Workspace, ascii_lower, chunks, hash64, mix64, word_codes
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-CHUNK, K, PREFIX, HOT, MEET, BINS = 2_000_000, 64, 24, 48, 3, 32
+CHUNK, K, PREFIX, HOT, MEET, BINS = 1_000_000, 64, 24, 48, 3, 32
+#: Of the longer keys that split long lists: minima in a key, and slots that they are of.
+DEPTHS, SLOTS = (4, 8, 12), 128
+BLOCK = 1024
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles."""
-    tokens = [WORDS.findall(ascii_lower(t)) if t else [] for t in texts]
-    codes, lens, uniq = word_codes(tokens)
+    codes, lens, uniq = word_codes(WORDS.findall(ascii_lower(t)) if t else [] for t in texts)
     words = hash64(uniq)[codes] if len(uniq) else np.empty(0, np.uint64)
-    out, at = [], 0
-    for n in lens.tolist():
-        x = words[at : at + n]
-        at += n
-        if n == 0:
-            out.append(np.empty(0, np.uint64))
-            continue
-        w = min(n, size)
-        h = np.full(n - w + 1, w, dtype=np.uint64)
+
+    def rolled(x: np.ndarray, w: int) -> np.ndarray:
+        h = np.full(max(0, len(x) - w + 1), w, dtype=np.uint64)
         with np.errstate(over="ignore"):
             for j in range(w):
-                h = mix64(h * _GOLD + x[j : n - w + 1 + j])
-        out.append(np.unique(h))
+                h = mix64(h * _GOLD + x[j : j + len(h)])
+        return h
+
+    whole, out, at = rolled(words, size), [], 0  # of all texts end to end; each takes its own
+    for n in lens.tolist():
+        h = np.sort(whole[at : at + n - size + 1] if n >= size else rolled(words[at : at + n], n) if n else words[:0])
+        out.append(h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h)
+        at += n
     return out
 
 
@@ -70,7 +76,7 @@ def _sketcher(size: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, CHUNK):
             sets = shingle_sets(b.column("text").to_pylist(), size)
-            digests = np.array([[xxhash.xxh64_intdigest(s.tobytes(), seed) for seed in (1, 2)] for s in sets], dtype=np.uint64).view(np.int64).reshape(-1, 2)
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s) for s in sets), np.int64).reshape(-1, 2)
             # hashes as signed numbers of the same order
             sketches = [(s[:k] ^ np.uint64(1 << 63)).view(np.int64) for s in sets]
             values = pa.array(np.concatenate(sketches) if sketches else np.empty(0, np.int64))
@@ -108,12 +114,11 @@ def _verifier(size: int, percent: int):
                         need[x] = len(fresh)
                         fresh.append(a_texts[i].as_py())
                 sets_a, sets_b = shingle_sets(fresh, size), shingle_sets(b.column("b_text").to_pylist(), size)
-                keep = []
+                own, keep = dict(zip(need, sets_a)) | {last[0]: last[1]}, []  # rows come in any order
                 for x, s in zip(ids_a, sets_b):
-                    if x in need:
-                        last = (x, sets_a[need[x]])
-                    both = len(np.intersect1d(last[1], s, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(last[1]) + len(s) - both))
+                    both = len(np.intersect1d(own[x], s, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(own[x]) + len(s) - both))
+                last = (ids_a[-1], own[ids_a[-1]])
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -163,6 +168,102 @@ def components(ws: Workspace, links: DataFrame, name: str = "cc") -> DataFrame:
             return labels
 
 
+def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    return lists.drop("label").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+
+
+def _open(lists: DataFrame) -> DataFrame:
+    """key and m, its members, of lists with members in different components."""
+    return lists.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", "m")
+
+
+def _hub_pairs(lists: DataFrame) -> DataFrame:
+    """Each list's members with its hub, the one whose values most others have."""
+    hubs = lists.groupBy("key").agg(F.max_by("rep", F.struct("central", F.negate("rep"))).alias("hub"))
+    return lists.join(hubs, "key").where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+
+
+def _could(x: Column, y: Column, percent: int) -> Column:
+    """Whether two members of a list may be linked and aren't yet: by component, sizes, and values shared at most."""
+    enough = F.least(x["shared"], y["shared"]) * (100 + percent) >= (x["n"] + y["n"]) * percent
+    return (x["label"] != y["label"]) & (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent) & enough
+
+
+def _mates(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) within lists of HOT members at most: key, r (array of rep, n, shared, label)."""
+    one = lists.select(F.explode("r").alias("x"), "r")
+    return one.select(F.col("x.rep").alias("a"), F.explode(F.transform(F.filter("r", lambda y: (y["rep"] > F.col("x.rep")) & _could(F.col("x"), y, percent)), lambda y: y["rep"])).alias("b"))
+
+
+def tables_for(depth: int, percent: int) -> int:
+    """So many keys of `depth` minima that a pair somewhat below the threshold shares none with a probability of 1e-6."""
+    return math.ceil(math.log(1e-6) / math.log(1 - (percent / 100 - 0.04) ** depth))
+
+
+def _keyer(depth: int, tables: int):
+    """Rows with a set's minima m in its slots b -> a row for each key, of `depth` slots. An empty slot borrows the value of
+    another, in an order that is the slot's own."""
+    rng = np.random.default_rng(SLOTS)
+    detours = np.stack([rng.permutation(SLOTS) for _ in range(SLOTS)])
+    rng = np.random.default_rng(depth)
+    picks = np.stack([rng.permutation(SLOTS)[:depth] for _ in range(tables)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 128):
+                part = big.slice(at, 128)
+                rows = part.num_rows
+                slots, values = part.column("b"), part.column("m")
+                row = np.repeat(np.arange(rows), pa.compute.list_value_length(slots).to_numpy(zero_copy_only=False))
+                sig, has = np.zeros((rows, SLOTS), np.uint64), np.zeros((rows, SLOTS), bool)
+                sig[row, slots.flatten().to_numpy()] = values.flatten().to_numpy().view(np.uint64)
+                has[row, slots.flatten().to_numpy()] = True
+                lender = np.where(has, np.arange(SLOTS), detours[np.arange(SLOTS), has[:, detours].argmax(axis=2)])
+                sig = np.take_along_axis(sig, lender, axis=1)
+                key = np.broadcast_to(np.arange(tables, dtype=np.uint64), (rows, tables))
+                with np.errstate(over="ignore"):
+                    for j in range(depth):
+                        key = mix64(key * _GOLD + sig[:, picks[:, j]])
+                again = lambda c: pa.array(np.repeat(part.column(c).to_numpy(), tables))
+                yield pa.RecordBatch.from_arrays([*map(again, _MEMBER), pa.array(key.ravel().view(np.int64))], names=[*_MEMBER, "key"])
+
+    return run
+
+
+_MEMBER = ["rep", "n", "shared", "central", "label"]
+
+
+def _deep_lists(full: DataFrame, members: DataFrame, depth: int, percent: int) -> DataFrame:
+    """members under longer keys: a row for each key."""
+    minima = full.join(members.select("rep"), "rep", "left_semi").groupBy("rep", F.pmod("v", F.lit(SLOTS)).cast("int").alias("b")).agg(F.min("v").alias("m"))
+    sets = minima.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("b", "m"))).alias("s")).select("rep", F.col("s.b").alias("b"), F.col("s.m").alias("m"))  # SLOTS at most
+    rows = members.join(sets, "rep").select(*_MEMBER, "b", "m")
+    return rows.mapInArrow(_keyer(depth, tables_for(depth, percent)), ", ".join(f"{c} long" for c in [*_MEMBER, "key"]))
+
+
+def _parted(lists: DataFrame) -> DataFrame:
+    """key, m (members), big (the label of most) and rest (members with others) of lists of more than one component."""
+    x = lists.groupBy("key", "label").count().groupBy("key").agg(F.sum("count").alias("m"), F.max(F.struct("count", "label")).alias("t"))
+    return x.select("key", "m", F.col("t.label").alias("big"), (F.col("m") - F.col("t.count")).alias("rest")).where("rest > 0")
+
+
+def _rest_pairs(lists: DataFrame, percent: int, once: list[str] | None = None) -> DataFrame:
+    """Pairs (a, b) of a list's members outside its largest component with all others: `lists` joined with _parted. Both sides
+    are dealt into blocks of about BLOCK that meet two by two, so no list is one task's. once: the columns of a member's
+    keys and of this one's place; a pair then counts under the first key that both have."""
+    of = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("rep"), of(n)).cast("int")
+    one = F.struct("rep", "n", "shared", "label", *(once or []))
+    left = lists.where("label <> big").select("key", "big", place("rest").alias("q"), F.explode(F.sequence(F.lit(0), of("m") - 1)).alias("p"), one.alias("x"))
+    right = lists.select("key", place("m").alias("p"), F.explode(F.sequence(F.lit(0), of("rest") - 1)).alias("q"), one.alias("y"))
+    met = (F.col("y.label") == F.col("big")) | (F.col("x.rep") < F.col("y.rep"))
+    if once:
+        keys, at = once
+        met = met & ~F.exists(F.arrays_zip(F.col(f"x.{keys}").alias("x"), F.col(f"y.{keys}").alias("y"), F.sequence(F.lit(0), F.lit(BINS // 2 - 1)).alias("at")), lambda z: (z["x"] == z["y"]) & (z["at"] < F.col(f"x.{at}")))
+    pairs = left.join(right, ["key", "p", "q"]).where(met & _could(F.col("x"), F.col("y"), percent))
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int = K) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
     spark = docs.sparkSession
@@ -205,15 +306,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
     rare_pairs = paired(rare)
     minima = lambda s: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.array_min(F.filter(s, lambda x: F.pmod(x, F.lit(BINS)) == i)))
     dense = ws.cut(info.join(own, "rep").where(F.col("own") * 100 <= room).withColumn("m", minima(F.col("sketch"))).drop("sketch"), "dense")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BINS // 2 - 1)), lambda i: F.xxhash64(i, F.element_at("m", i * 2 + 1), F.element_at("m", i * 2 + 2)))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BINS // 2 - 1)), lambda i: F.when(F.coalesce(F.element_at("m", i * 2 + 1), F.element_at("m", i * 2 + 2)).isNotNull(), F.xxhash64(i, F.element_at("m", i * 2 + 1), F.element_at("m", i * 2 + 2))))  # empty bins say nothing
     dense = ws.cut(dense.withColumn("keys", keys).drop("m"), "keyed")
-    listed = ws.cut(dense.select("rep", "n", (F.col("n") - F.col("own")).alias("shared"), "central", "keys", F.posexplode("keys").alias("i", "key")), "listed")
+    listed = ws.cut(dense.select("rep", "n", (F.col("n") - F.col("own")).alias("shared"), "central", "keys", F.posexplode("keys").alias("i", "key")).where("key is not null"), "listed")
     counts = listed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     short = listed.join(counts.where(F.col("m") <= HOT), "key", "left_semi").groupBy("key").agg(F.collect_list("rep").alias("reps"))
     near = rare_pairs.union(paired(short)).distinct().join(a, "a").join(b, "b").where(alike).select("a", "b")
     long_lists = ws.cut(listed.join(counts.where(F.col("m") > HOT), "key", "left_semi"), "long")
-    hubs = long_lists.groupBy("key").agg(F.max_by("rep", F.struct("central", F.negate("rep"))).alias("hub"))
-    hub_pairs = long_lists.join(hubs, "key").where("hub <> rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct().join(a, "a").join(b, "b").where(alike).select("a", "b")
+    hub_pairs = _hub_pairs(long_lists).join(a, "a").join(b, "b").where(alike).select("a", "b")
 
     first = ws.cut(pairs.union(near).union(hub_pairs).distinct(), "pairs")
     ends = first.select(F.col("a").alias("rep")).union(first.select("b")).distinct()
@@ -221,21 +321,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
     ws.drop("ends")
     labels = components(ws, links)
 
+    tried = first
     if not long_lists.isEmpty():
-        placed = long_lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        # only lists that still hold more than one component, and of those all members
-        open_lists = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-        left = placed.join(open_lists, "key", "left_semi").select("key", "i", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shared").alias("ha"), F.col("label").alias("la"), F.col("keys").alias("ka"))
-        right = left.toDF("key", "j", "b", "nb", "hb", "lb", "kb")
-        enough = F.least("ha", "hb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent  # shared at most, against sizes
-        met_before = F.exists(F.arrays_zip("ka", "kb", F.sequence(F.lit(0), F.lit(BINS // 2 - 1)).alias("at")), lambda x: (x["ka"] == x["kb"]) & (x["at"] < F.col("i")))
-        rest = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & enough & ~met_before).select("a", "b")
-        rest = rest.join(a, "a").join(b, "b").where(alike).select("a", "b")
-        rest = ws.cut(rest.join(first, ["a", "b"], "left_anti"), "rest")
-        ends = rest.select(F.col("a").alias("rep")).union(rest.select("b")).distinct()
-        more = ws.cut(_verified(rest, leader_texts(ends), size, percent), "more")
-        if not more.isEmpty():
-            labels = components(ws, links.union(more), "cc2")
+        placed = ws.cut(_labelled(long_lists, labels), "placed")
+        parts = ws.cut(_parted(placed), "parted")
+        few = placed.join(parts.where(F.col("rest") <= HOT), "key")
+        found = _rest_pairs(few, percent, ["keys", "i"])
+        members = placed.join(parts.where(F.col("rest") > HOT), "key", "left_semi").select("rep").distinct()
+        for depth in (*DEPTHS, None):
+            found = ws.cut(found.join(tried, ["a", "b"], "left_anti").join(a, "a").join(b, "b").where(alike).select("a", "b"), f"found{depth}")
+            tried = tried.union(found)
+            ends = found.select(F.col("a").alias("rep")).union(found.select("b")).distinct()
+            more = ws.cut(_verified(found, leader_texts(ends), size, percent), f"more{depth}")
+            if not more.isEmpty():
+                links = links.union(more)
+                labels = components(ws, links, f"cc{depth}")
+            if members is None or depth is None:
+                break
+            members = ws.cut(_labelled(members.join(own, "rep").join(sizes, "rep").select("rep", "n", (F.col("n") - F.col("own")).alias("shared"), "central"), labels).select(*_MEMBER), f"members{depth}")
+            if members.isEmpty():
+                break
+            lists = ws.cut(_deep_lists(full, members, depth, percent), f"lists{depth}")
+            counts = _open(lists)
+            mates = lists.join(counts.where(F.col("m") <= HOT), "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("rep", "n", "shared", "label")).alias("r"))
+            rest = ws.cut(lists.join(counts.where(F.col("m") > HOT), "key", "left_semi"), f"long{depth}")
+            # a pair at the threshold shares many keys: of the short lists two, or most of its lists are long and it goes on
+            found = _mates(mates, percent).groupBy("a", "b").count().where("count > 1").select("a", "b").union(_hub_pairs(rest)).distinct()
+            members = rest.select("rep").distinct()
+            if depth == DEPTHS[-1]:  # what no key has split
+                found = found.union(_rest_pairs(rest.join(_parted(rest), "key"), percent)).distinct()
+                members = None
 
     members = usable.select("d1", "d2", "n", "doc_id").join(leaders, ["d1", "d2", "n"]).select("doc_id", "n", "rep")
     placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
