@@ -3,12 +3,14 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import ahocorasick  # noqa: F401
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -573,3 +575,100 @@ def test_pipeline_stages(spark):
     a, b = seen["sharding"]
     assert b.count() == a.count() and b.columns == [*columns, "shard", "slot"]
     assert WORDS
+
+
+def test_tokens_without_end_are_looked_at_once():
+    """A run of headers that no dot follows: looked at once, not from each of its positions."""
+    from maskloom.llm.secrets import _automaton, find_spans
+
+    automaton = _automaton()
+    seconds = []
+    for n in (20_000, 80_000):
+        t = time.process_time()
+        assert find_spans("eyJ" * n, automaton) == []
+        seconds.append(time.process_time() - t)
+    assert seconds[1] < 16 * max(seconds[0], 0.01) / 2 and seconds[1] < 1
+
+
+def _linked(texts, percent=85):
+    """Smallest index reachable over links, by comparing all pairs."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in texts)]
+    label = list(range(len(sets)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((root(i), root(j)))
+                label[y] = x
+    return [root(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("kind", ["mixes", "sorted"])
+def test_crowds_that_share_passages(spark, monkeypatch, kind):
+    """Texts put together from the same passages: lists are split by longer keys, and no link is lost."""
+    from maskloom.llm import neardup
+
+    if kind == "sorted":  # many pairs just below and above the threshold, and lists longer than HOT at all depths
+        monkeypatch.setattr(neardup, "HOT", 8)
+        monkeypatch.setattr(neardup, "BLOCK", 16)
+    rnd = random.Random(11)
+    parts = [" ".join(f"p{i}w{j}" for j in range(6 if kind == "mixes" else 40)) for i in range(14 if kind == "mixes" else 8)]
+    if kind == "mixes":
+        texts = [" ".join(rnd.sample(parts, 4)) for _ in range(3000)]
+    else:
+        texts = [" ".join(parts[k] for k in sorted(rnd.sample(range(8), rnd.choice([5, 6, 7])))) + f" z{rnd.randrange(60)}" for _ in range(250)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    if kind == "mixes":  # sharing 19 of 20 shingles and not all is impossible here: only equal texts are linked
+        first = {}
+        want = [first.setdefault(t, i) for i, t in enumerate(texts)]
+    else:
+        want = _linked(texts)
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_any_hit_drops_a_document(spark):
+    from maskloom.llm.decontaminate import decontaminate
+
+    leaked = " ".join(f"q{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(2000)) + " " + leaked), (2, " ".join(f"a{i}" for i in range(50))), (3, None), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, leaked)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate(docs, items).collect()} == {1, 2, 3, 4}  # 13 of 2013 words
+    assert {r.doc_id for r in decontaminate(docs, items, share=None).collect()} == {2, 3, 4}
+
+
+def test_benchmarks_of_several_blocks(spark, monkeypatch):
+    """Each block is a pass of its own over what the one before has written; results are those of one pass."""
+    from maskloom.llm import decontaminate as d
+
+    rnd = random.Random(3)
+    items = [(i, " ".join(f"w{rnd.randrange(40)}" for _ in range(rnd.choice([3, 13, 30])))) for i in range(40)]
+    texts = [(i, " ".join(f"w{rnd.randrange(40)}" for _ in range(30)) + " " + items[i % 40][1] + " end") for i in range(60)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(d.contamination(docs, bench).collect())
+    monkeypatch.setattr(d, "BLOCK_WORDS", 100)
+    assert sorted(d.contamination(docs, bench).collect()) == whole
+
+
+def test_long_clean_texts_are_not_toxic():
+    """The noisy-or has no background by sentence: thousands of plain sentences add nothing."""
+    from maskloom.llm import toxicity as tox
+
+    rnd = random.Random(2)
+    plain = lambda: " ".join(f"w{rnd.randrange(300)}" for _ in range(8)) + "."
+    texts = [" ".join(plain() for _ in range(rnd.randrange(1, 30))) + (" you vile scum." if i % 2 else "") for i in range(400)]
+    toxic = np.array([i % 2 for i in range(400)])
+    bags = []
+    for t in texts:
+        bucket, sentence, document = tox._bags([t])
+        bags.append((bucket, sentence, len(document)))
+    weights, bias, leak = tox.fit(toxic, bags)
+    score = lambda t: next(tox._score(weights, bias, leak, 0.7)([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [t]})]))["score"][0].as_py()
+    long = " ".join(plain() for _ in range(5000))
+    assert score(long) == pytest.approx(score("w1 w2.")) and score(long) < 0.3
+    assert score(long + " you vile scum.") > 0.7
