@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from ..functions import checksums as C
 
-# The lists that stand-ins are drawn from.
-FIRST = "Alice Benjamin Carmen David Elena Franklin Grace Hiroshi Ingrid James Kavya Liam Maria Noah Olivia Patrick Quinn Rafael Sophia Thomas Uma Victor Wendy Xander Yara Zachary Amara Brendan Chloe Diego Emeka Fatima Gabriel Hannah Ivan Julia Kenji Laura Marcus Nadia Oscar Priya Riley Samuel Talia Usman Valeria William".split()
-LAST = "Anderson Bhattacharya Chen Diallo Evans Fischer Garcia Hassan Ivanova Johnson Kim Lopez Martinez Nakamura Okonkwo Patel Quinn Rodriguez Singh Thompson Ueda Vasquez Williams Yamamoto Zhang Adeyemi Brown Carvalho Dubois Eriksson Fontaine Gonzalez Huang Ibrahim Jensen Kowalski Leblanc Nguyen Olawale Park Reyes Santos Takahashi Ullah Volkov Walker Young".split()
-DOMAINS = "gmail.com yahoo.com outlook.com protonmail.com icloud.com hotmail.com fastmail.com tutanota.com zoho.com mail.com".split()
-CITIES = "Amsterdam,Austin,Bangkok,Barcelona,Berlin,Brussels,Buenos Aires,Cairo,Cape Town,Chicago,Copenhagen,Dubai,Dublin,Edinburgh,Frankfurt,Geneva,Helsinki,Istanbul,Jakarta,Johannesburg,Kyoto,Lagos,Lisbon,London,Lyon,Madrid,Melbourne,Mexico City,Milan,Montreal,Mumbai,Munich,Nairobi,New York,Oslo,Paris,Portland,Prague,Santiago,São Paulo,Seattle,Seoul,Singapore,Stockholm,Sydney,Tokyo,Toronto,Vienna,Warsaw,Zurich".split(",")
-COMPANIES = "Apex Solutions,Bridgewater Analytics,Cascade Technologies,Driftwood Consulting,Evergreen Systems,Falcon Digital,Greenfield Ventures,Harbor Capital,Ironclad Labs,Juniper Networks Inc,Keystone Partners,Lakeside Software,Meridian Group,Northstar Dynamics,Onyx Innovations,Pinnacle Services,Quantum Leap Corp,Redwood Strategies,Silverstream Media,Thorngate Solutions,Unified Analytics,Vanguard Systems,Whitmore Associates,Xenon Technologies,Yellowstone Digital,Zenith Consulting".split(",")
-TLDS = ".com .io .net .org .co .app .dev .tech".split()
+# What stand-ins are put together from: our own syllables and words, so that no stand-in is anybody's by design. Domains are
+# those that are reserved for examples: no stand-in is a mailbox or site of someone's.
+FIRST = tuple(a + b for a in ("Bel", "Cor", "Dar", "El", "Fen", "Jor", "Lin", "Mar", "Nor", "Sel", "Tam", "Ver") for b in ("a", "en", "ia", "is", "o", "wyn"))
+LAST = tuple(a + b for a in ("Ash", "Birch", "Cold", "Dun", "Elm", "Gray", "Hol", "Marsh", "Oak", "Stan", "Thorn", "Wil") for b in ("brook", "by", "ford", "ley", "man", "well"))
+CITIES = tuple(a + b for a in ("Alder", "Bracken", "Clay", "East", "Fox", "High", "Lake", "Mill", "North", "Stone") for b in ("bridge", "bury", "field", "haven", "mouth", "ton"))
+COMPANIES = tuple(f"{a} {b}" for a in ("Bluefin", "Copperline", "Dovetail", "Emberly", "Foxglove", "Glasswing", "Hazelnut", "Ivorydale", "Larkfield", "Mistral") for b in ("Freight", "Instruments", "Mills", "Optics", "Works"))
+DOMAINS = ("example.com", "example.net", "example.org")
 
 
 def seeded(entity: str, surface: str, scope: str | None = None) -> random.Random:
@@ -108,7 +108,7 @@ def synthetic(surface: str, entity: str, rng: random.Random) -> str:
         "EMAIL_ADDRESS": lambda: f"{pick(FIRST).lower()}.{pick(LAST).lower()}{rng.randrange(100)}@{pick(DOMAINS)}",
         "CREDIT_CARD": lambda: _card(rng, surface), "US_SSN": lambda: _ssn(rng, surface), "US_ITIN": lambda: _itin(rng, surface), "IBAN_CODE": lambda: _iban(rng, surface),
         "IP_ADDRESS": lambda: _ip(rng, surface), "MAC_ADDRESS": lambda: _mac(rng, surface), "CRYPTO": lambda: _crypto(rng, surface), "US_PASSPORT": lambda: _letters(rng, surface),
-        "URL": lambda: ("https://" if not re.match("(?i)http:", surface) else "http://") + re.sub(r"\W+", "", pick(COMPANIES).split()[0].lower()) + pick(TLDS), "LOCATION": lambda: pick(CITIES), "ORGANIZATION": lambda: pick(COMPANIES),
+        "URL": lambda: ("https://" if not re.match("(?i)http:", surface) else "http://") + pick(COMPANIES).split()[0].lower() + "." + pick(DOMAINS), "LOCATION": lambda: pick(CITIES), "ORGANIZATION": lambda: pick(COMPANIES),
     }
     make = makers.get(entity)
     return make() if make else _digits(rng, surface)
