@@ -13,7 +13,7 @@ from .dialect import java
 
 
 def spans(text: Column, pattern: str, needs: str | None = None) -> Column:
-    """array<struct<start bigint, end bigint, surface string>>. `needs` is a literal without which nothing can match: it
+    """array<struct<start bigint, end bigint, surface string>>. `needs` is an expression without which nothing can match: it
     spares most rows the regular expression. Null text: an empty array."""
     p = F.lit(java(pattern))
     gaps, hits = F.split(text, java(pattern), -1), F.regexp_extract_all(text, p, F.lit(0))
@@ -27,5 +27,5 @@ def spans(text: Column, pattern: str, needs: str | None = None) -> Column:
     pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
     found = F.aggregate(pairs, zero, step, lambda a: a["out"])
     none = F.array().cast("array<struct<start:bigint,end:bigint,surface:string>>")
-    test = text.isNotNull() if needs is None else F.coalesce(F.contains(text, F.lit(needs)), F.lit(False))
+    test = text.isNotNull() if needs is None else F.coalesce(text.rlike(needs), F.lit(False))
     return F.when(test, found).otherwise(none)

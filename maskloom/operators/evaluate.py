@@ -23,7 +23,7 @@ def f1(p: Column, r: Column) -> Column:
 def normalize_labels(spans: DataFrame, label_map: DataFrame, side: str | None = None) -> DataFrame:
     """Types mapped to canonical ones. label_map: label, canonical (null: drop), maybe side. Unmapped labels become OTHER."""
     m = label_map if side is None else label_map.where(F.col("side") == side)
-    m = F.broadcast(m.select(F.col("label").alias("type"), "canonical", F.lit(True).alias("known")))  # a table of labels
+    m = m.select(F.col("label").alias("type"), "canonical", F.lit(True).alias("known"))  # Spark broadcasts it if its size allows
     x = spans.join(m, "type", "left")
     return x.where(F.col("known").isNull() | F.col("canonical").isNotNull()).withColumn("type", F.coalesce("canonical", F.lit("OTHER"))).drop("canonical", "known")
 
@@ -49,7 +49,7 @@ def leak_rate(leaks: DataFrame, *by: str) -> DataFrame:
 
 def weighted_leak(leaks: DataFrame, severity: DataFrame, *by: str) -> DataFrame:
     """severity: type, weight. A missing weight is 1, one of 0 or less drops the span."""
-    x = leaks.join(F.broadcast(severity.select("type", "weight")), "type", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).where("weight > 0")
+    x = leaks.join(severity.select("type", "weight"), "type", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).where("weight > 0")
     return x.groupBy(*by).agg(F.sum("weight").alias("weight"), F.sum(F.when(F.col("leaked"), F.col("weight")).otherwise(0.0)).alias("leaked_weight")).withColumn("weighted_leak", ratio(F.col("leaked_weight"), F.col("weight")))
 
 
@@ -93,7 +93,7 @@ def type_only(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 def rollup(leaks: DataFrame, corpora: DataFrame) -> DataFrame:
     """Pooled leak by all, domain, language, and both: grouping sets in one pass. corpora: corpus, domain, language."""
-    x = leaks.join(F.broadcast(corpora), "corpus")
+    x = leaks.join(corpora, "corpus")
     g = x.groupingSets([[], ["domain"], ["language"], ["domain", "language"]], "domain", "language").agg(F.grouping_id().alias("level"), F.count("*").alias("gold"), F.sum(F.col("leaked").cast("long")).alias("leaked"))
     return g.withColumn("leak_rate", ratio(F.col("leaked").cast("double"), F.col("gold")))
 
