@@ -55,9 +55,11 @@ def _spans_sql(p: str, table: str = "documents", key: str = "doc_id", text: str
 
 # -- Spans, in Catalyst ----------------------------------------------------------------------------------------------
 
-#: name -> pattern, a literal without which nothing matches
+#: What every address has: most texts are done with it.
+IPV4_NEEDS = r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"
+#: name -> pattern, an expression without which nothing matches
 SPAN_QUERIES: dict[str, tuple[str, str | None]] = {
-    "spans_email": (P.EMAIL, "@"), "spans_ipv4": (P.IPV4, "."), "spans_mac": (P.MAC, None), "spans_url": (P.URL, None), "spans_phone": (P.PHONE, None), "spans_zip": (P.ZIP5, None),
+    "spans_email": (P.EMAIL, "@"), "spans_ipv4": (P.IPV4, IPV4_NEEDS), "spans_mac": (P.MAC, None), "spans_url": (P.URL, None), "spans_phone": (P.PHONE, None), "spans_zip": (P.ZIP5, None),
     "spans_us_bank": (P.US_BANK, None), "spans_iban": (P.IBAN, None), "spans_medical_license": (P.MEDICAL_LICENSE, None), "spans_us_driver_license": (P.US_DRIVER_LICENSE, None), "spans_hex_secret": (P.SECRET, None),
 }
 
@@ -99,7 +101,7 @@ for _name, (_sentence, _p) in _SENTENCES.items():
 
 @_q("spans_page_ipv4", f'SELECT page_id, "start", "start" + length(surface) AS "end", surface FROM {_spans_sql(P.IPV4, "pages", "page_id", "html")}')
 def _page_ips(spark: SparkSession, d: str) -> DataFrame:
-    found = _t(spark, d, "pages").select("page_id", F.explode(spans(F.col("html"), P.IPV4, ".")).alias("s"))
+    found = _t(spark, d, "pages").select("page_id", F.explode(spans(F.col("html"), P.IPV4, IPV4_NEEDS)).alias("s"))
     return found.select("page_id", "s.start", "s.end", "s.surface")
 
 
@@ -189,6 +191,46 @@ for _name, _rec, _n, _sql, _entity in (
     _q(_name, f"SELECT o_orderkey, s AS surface, 1.0::DOUBLE AS score, '{_entity}' AS entity FROM (SELECT o_orderkey, {_num} AS s FROM orders) WHERE {_sql}{_gate}")(_recognized(_rec, f"concat(CASE WHEN o_orderkey % 2 = 0 THEN 'the npi is ' ELSE 'a number is ' END, {_num.replace('VARCHAR', 'STRING')}, ' on file')"))
 
 
+# -- Recognizers that are patterns alone, each over the same texts made of order keys ---------------------------------
+
+_K = "CAST(o_orderkey AS STRING)"
+
+
+def _n(width: int, fill: str, by: int = 1) -> str:
+    """SQL: digits that depend on the order."""
+    return f"lpad(CAST(o_orderkey * {by} AS STRING), {width}, '{fill}')"
+
+
+_TEXTS = (
+    f"'passport A', {_n(8, '1')}, ' or C', {_n(7, '3')}, ' AB', {_n(6, '4')}, ', lic AB-', {_n(6, '5')}, ', voter ABC', {_n(7, '2')}, ', card ab', {_n(5, '6')}, 'XY, YA', {_n(7, '6', 3)}, ', car MH-12-AB-', {_n(4, '7')}, ', uen ', {_n(9, '8')}, 'D, T08LL', {_n(4, '1')}, 'A, zip ', {_n(5, '2')}, '-1234 ', {_n(5, '3')}, ', CRN ', {_n(10, '4')}, '.'",
+    f"{_n(3, '1')}, ' North Main Street, Apt ', {_n(2, '4')}, 'B; NW 5th Avenue; 12 Rue de la Paix ', {_n(2, '1')}, '; Via Giuseppe Verdi 12; Calle de Alcala 7; Strada Mihai Eminescu nr. ', {_n(2, '9')}, '; Hauptstrasse ', {_n(3, '2')}, '; Am Alten Markt 5; Lange Allee 7; Kirchweg ', {_n(2, '3')}, '.'",
+    f"'user maria.keller', {_n(3, '0')}, ' and johnson', {_n(2, '7')}, ', Obs: POPESCU ION. tel 0', {_n(3, '7')}, '-', {_n(6, '2')}, ', CNP 1', {_n(12, '9')}, ', R12-', {_n(7, '3')}, ', TREZ', {_n(12, '0')}, ', ora 12:', lpad(CAST(o_orderkey % 60 AS STRING), 2, '0'), ', AKIA', {_n(16, '7')}, ', host 10.0.', CAST(o_orderkey % 300 AS STRING), '.7 or fe80::', {_n(4, '1')}, ', 0a:1b:2c:3d:4e:', lpad(CAST(o_orderkey % 100 AS STRING), 2, '0'), ', see https://a', {_K}, '.org/x or write to b', {_K}, '@mail.example.com.'",
+    f"'geb. 03.0', CAST(o_orderkey % 9 + 1 AS STRING), '.19', {_n(2, '5')}, ', 5. Juni 20', {_n(2, '1')}, ', Tel. 030/', {_n(7, '4')}, ', (030) 555-1234, +49 30 ', {_n(6, '2')}, ', ', CAST(o_orderkey % 80 + 11 AS STRING), ' Jahre alt, Patient (', CAST(o_orderkey % 80 + 11 AS STRING), '), Helios und Klinikum Bonn, Amtsgericht Bonn, Deutsche Bank, Muster Bau GmbH, BIC DEUTDEFF', {_n(3, '5')}, ' on 12/31/19', {_n(2, '8')}, ', call 555-', {_n(3, '4')}, '-', {_n(4, '3')}, '.'",
+)
+_TEXT_SQL = "CASE o_orderkey % 4 " + " ".join(f"WHEN {i} THEN concat({t})" for i, t in enumerate(_TEXTS)) + " END"
+_TEXT_TABLE = f"(SELECT o_orderkey, {_TEXT_SQL.replace('AS STRING', 'AS VARCHAR')} AS text FROM orders)"
+
+
+def _pattern_query(r: P.Recognizer) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        x = _t(spark, d, "orders").select("o_orderkey", F.expr(_TEXT_SQL).alias("text"))
+        config = AnalysisConfig(context=None, remove_conflicts=False, language="en" if "*" in r.languages else r.languages[0])
+        found = exploded(analyze(x, registry=_named(r.name), config=config), ["o_orderkey"])
+        return found.groupBy("o_orderkey", "start", "end", "surface", "entity").agg(F.max(F.round("score", 4)).alias("score"))
+
+    return run
+
+
+def _pattern_sql(r: P.Recognizer) -> str:
+    parts = [f"SELECT o_orderkey, \"start\", surface, '{x[2] if len(x) > 2 else r.entities[0]}' AS entity, {x[1]}::DOUBLE AS score FROM {_spans_sql(x[0], _TEXT_TABLE, 'o_orderkey')}" for x in r.patterns]
+    return f'SELECT o_orderkey, "start", "start" + length(surface) AS "end", surface, entity, max(score) AS score FROM ({" UNION ALL ".join(parts)}) GROUP BY ALL'
+
+
+for _r in P.DEFAULT:
+    if not (_r.procedure or _r.check or _r.gate or _r.group or _r.no_structural or _r.model):
+        _q(f"recognizer_{_r.name.removesuffix('Recognizer').lower()}", _pattern_sql(_r))(_pattern_query(_r))
+
+
 # -- Analysis stages -------------------------------------------------------------------------------------------------
 
 _EMAILS, _IPS = _spans_sql(P.EMAIL), _spans_sql(P.IPV4)
@@ -577,7 +619,10 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
     from .streaming.detect import detect, read_parquet, write_once
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maskloom-")).rstrip("/") + f"/stream-{uuid.uuid4().hex[:12]}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = (base or tempfile.mkdtemp(prefix="maskloom-")).rstrip("/") + f"/stream-{uuid.uuid4().hex[:12]}"
     src = f"{base}/in"
     _t(spark, d, "documents").select("doc_id", "text").write.parquet(src)
     found = detect(read_parquet(spark, src), "text", config=AnalysisConfig(entities=("EMAIL_ADDRESS",), context=None))
