@@ -200,11 +200,29 @@ def tables_for(depth: int, percent: int) -> int:
     return math.ceil(math.log(1e-6) / math.log(1 - (percent / 100 - 0.04) ** depth))
 
 
-def _keyer(depth: int, tables: int):
-    """Rows with a set's minima m in its slots b -> a row for each key, of `depth` slots. An empty slot borrows the value of
-    another, in an order that is the slot's own."""
+def _signer(size: int):
+    """rep, text -> rep, sig: the least value in each of SLOTS slots of the full set. An empty slot borrows the value of another,
+    in an order that is the slot's own."""
     rng = np.random.default_rng(SLOTS)
     detours = np.stack([rng.permutation(SLOTS) for _ in range(SLOTS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, CHUNK):
+            sigs = np.zeros((b.num_rows, SLOTS), np.uint64)
+            for i, s in enumerate(shingle_sets(b.column("text").to_pylist(), size)):
+                slot, first = np.unique((s % np.uint64(SLOTS)).astype(np.int64), return_index=True)  # sets are sorted
+                has = np.zeros(SLOTS, bool)
+                has[slot], sigs[i, slot] = True, s[first]
+                lender = np.where(has, np.arange(SLOTS), detours[np.arange(SLOTS), has[detours].argmax(axis=1)])
+                sigs[i] = sigs[i, lender]
+            offsets = pa.array(np.arange(0, (b.num_rows + 1) * SLOTS, SLOTS, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(offsets, pa.array(sigs.ravel().view(np.int64)))], names=["rep", "sig"])
+
+    return run
+
+
+def _keyer(depth: int, tables: int):
+    """Rows with a signature -> a row for each key, of `depth` of its slots."""
     rng = np.random.default_rng(depth)
     picks = np.stack([rng.permutation(SLOTS)[:depth] for _ in range(tables)])
 
@@ -212,15 +230,8 @@ def _keyer(depth: int, tables: int):
         for big in batches:
             for at in range(0, big.num_rows, 128):
                 part = big.slice(at, 128)
-                rows = part.num_rows
-                slots, values = part.column("b"), part.column("m")
-                row = np.repeat(np.arange(rows), pa.compute.list_value_length(slots).to_numpy(zero_copy_only=False))
-                sig, has = np.zeros((rows, SLOTS), np.uint64), np.zeros((rows, SLOTS), bool)
-                sig[row, slots.flatten().to_numpy()] = values.flatten().to_numpy().view(np.uint64)
-                has[row, slots.flatten().to_numpy()] = True
-                lender = np.where(has, np.arange(SLOTS), detours[np.arange(SLOTS), has[:, detours].argmax(axis=2)])
-                sig = np.take_along_axis(sig, lender, axis=1)
-                key = np.broadcast_to(np.arange(tables, dtype=np.uint64), (rows, tables))
+                sig = part.column("sig").flatten().to_numpy().view(np.uint64).reshape(part.num_rows, SLOTS)
+                key = np.broadcast_to(np.arange(tables, dtype=np.uint64), (part.num_rows, tables))
                 with np.errstate(over="ignore"):
                     for j in range(depth):
                         key = mix64(key * _GOLD + sig[:, picks[:, j]])
@@ -233,11 +244,9 @@ def _keyer(depth: int, tables: int):
 _MEMBER = ["rep", "n", "shared", "central", "label"]
 
 
-def _deep_lists(full: DataFrame, members: DataFrame, depth: int, percent: int) -> DataFrame:
+def _deep_lists(signatures: DataFrame, members: DataFrame, depth: int, percent: int) -> DataFrame:
     """members under longer keys: a row for each key."""
-    minima = full.join(members.select("rep"), "rep", "left_semi").groupBy("rep", F.pmod("v", F.lit(SLOTS)).cast("int").alias("b")).agg(F.min("v").alias("m"))
-    sets = minima.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("b", "m"))).alias("s")).select("rep", F.col("s.b").alias("b"), F.col("s.m").alias("m"))  # SLOTS at most
-    rows = members.join(sets, "rep").select(*_MEMBER, "b", "m")
+    rows = members.join(signatures, "rep").select(*_MEMBER, "sig")
     return rows.mapInArrow(_keyer(depth, tables_for(depth, percent)), ", ".join(f"{c} long" for c in [*_MEMBER, "key"]))
 
 
@@ -341,7 +350,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
             members = ws.cut(_labelled(members.join(own, "rep").join(sizes, "rep").select("rep", "n", (F.col("n") - F.col("own")).alias("shared"), "central"), labels).select(*_MEMBER), f"members{depth}")
             if members.isEmpty():
                 break
-            lists = ws.cut(_deep_lists(full, members, depth, percent), f"lists{depth}")
+            if depth == DEPTHS[0]:
+                signatures = ws.cut(leader_texts(members.select("rep")).mapInArrow(_signer(size), "rep long, sig array<long>"), "signatures")
+            lists = ws.cut(_deep_lists(signatures, members, depth, percent), f"lists{depth}")
             counts = _open(lists)
             mates = lists.join(counts.where(F.col("m") <= HOT), "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("rep", "n", "shared", "label")).alias("r"))
             rest = ws.cut(lists.join(counts.where(F.col("m") > HOT), "key", "left_semi"), f"long{depth}")
