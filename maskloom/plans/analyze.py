@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +97,22 @@ class Engine:
             self._by_language[language] = chosen, words
         return self._by_language[language]
 
+    def guards(self, texts: pa.Array, languages: set[str]) -> dict[str, list[bool | None]]:
+        """Which texts of a batch pass each guard of their languages' recognizers. Guards are RE2 texts, so Arrow's RE2 runs them
+        over the whole batch; one that RE2 refuses is left out, and `analyze` searches for it itself."""
+        found: dict[str, list[bool | None]] = {}
+        for guard in dict.fromkeys(r.needs for lang in languages for r, _, _ in self.speaking(lang)[0] if r.needs is not None):
+            try:
+                found[guard] = pc.match_substring_regex(texts, guard).to_pylist()
+            except pa.ArrowInvalid:
+                continue
+        return found
+
+    def analyze_batch(self, texts: pa.Array, languages: list[str | None]) -> list[list[Finding]]:
+        """Findings of each text of a batch."""
+        hits = self.guards(texts, {lang or self.config.language or "en" for lang in languages})
+        return [self.analyze(t.as_py(), lang, {g: h[i] for g, h in hits.items()}) for i, (t, lang) in enumerate(zip(texts, languages))]
+
     def _of(self, r: Recognizer, patterns, more, text: str, low: str) -> list[Finding]:
         found: list[tuple[int, int, float, str]] = list(more(text)) if more else []
         if patterns:
@@ -129,13 +146,14 @@ class Engine:
             out.append((s, e, score, entity, r.name))
         return out
 
-    def analyze(self, text: str | None, language: str | None = None) -> list[Finding]:
+    def analyze(self, text: str | None, language: str | None = None, guards: dict[str, bool | None] | None = None) -> list[Finding]:
+        """guards: which guards the text passes, as far as that is known."""
         if not text:
             return []
         cfg = self.config
         text, places = strip_ansi(text)
         chosen, words = self.speaking(language or cfg.language or "en")
-        low, seen, found, failed = _fold(text), {}, [], 0
+        low, seen, found, failed = _fold(text), guards if guards and places is None else {}, [], 0
         for r, patterns, more in chosen:
             if r.needs is not None:
                 if r.needs not in seen:
@@ -200,7 +218,7 @@ def analyze(df: DataFrame, text: str = "text", language: str | None = None, conf
         for b in batches:
             texts = b.column(b.schema.get_field_index(text))
             langs = b.column(b.schema.get_field_index(language)).to_pylist() if language else [None] * b.num_rows
-            out = [engine.analyze(t.as_py(), lang) for t, lang in zip(texts, langs)]
+            out = engine.analyze_batch(texts, langs)
             yield pa.RecordBatch.from_arrays([*b.columns, _columns(out)], names=[*b.schema.names, findings])
 
     return df.mapInArrow(run, schema)
