@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +33,7 @@ NOT_NAMES = frozenset("i you we he she it they sie wir er es please kindly hello
 _RULES = [*((s, None, None) for s in SHAPES.values()), (BASE64, BASE64_SIGN, None), (MODEL_LOOSE, DIGIT, None), (SNAKE, None, SNAKE_NAME)]
 
 
+@lru_cache(maxsize=1 << 16)
 def is_structural(surface: str) -> bool:
     s = surface.strip()
     return bool(s) and any(python(shape).search(s) and (also is None or python(also).search(s)) and (no is None or not python(no).search(s)) for shape, also, no in _RULES)

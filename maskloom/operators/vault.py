@@ -29,6 +29,14 @@ def mint(findings: DataFrame, ttl_seconds: int | None = None) -> DataFrame:
     return first.select(*KEY, build_token(F.col("entity"), F.col("tenant_id"), number).alias("token"), F.col("entity").alias("entity_type"), F.col("surface").alias("cleartext"), expires.alias("expires_at"))
 
 
+def numbered(findings: DataFrame) -> DataFrame:
+    """findings (see mint) with the token of each: mint's numbers as windows over one shuffle by document, so that a finding
+    needs no join to meet its token."""
+    first = F.min(F.struct("segment", "start")).over(Window.partitionBy(*KEY, "entity", "surface"))
+    number = F.dense_rank().over(Window.partitionBy(*KEY).orderBy("_first", "entity", "surface"))
+    return findings.repartition(*KEY).withColumn("_first", first).withColumn("token", build_token(F.col("entity"), F.col("tenant_id"), number)).drop("_first")
+
+
 def ingest(docs: DataFrame, registry=None, config=None, content: str = "content", format_column: str | None = None) -> tuple[DataFrame, DataFrame]:
     """docs: tenant_id, id, content, maybe a format and language -> (records, vault). The content's pieces are analysed, values
     get tokens, pieces are rewritten and the content is put together again. Offsets of tokens are within their piece."""
@@ -45,8 +53,8 @@ def ingest(docs: DataFrame, registry=None, config=None, content: str = "content"
     found = analyze(pieces, language="lang", config=config, registry=registry)
     found = found.withColumn("findings", merge_adjacent_col(resolve_col(F.col("findings")), F.col("text")))
     rows = found.select(*KEY, "segment", F.explode("findings").alias("f"), "text").select(*KEY, "segment", "f.start", "f.end", "f.entity", F.substring("text", (F.col("f.start") + 1).cast("int"), (F.col("f.end") - F.col("f.start")).cast("int")).alias("surface"))
-    vault = mint(rows)
-    refs = rows.join(vault.select(*KEY, "token", F.col("entity_type").alias("entity"), F.col("cleartext").alias("surface")), [*KEY, "entity", "surface"])
+    refs = numbered(rows)
+    vault = refs.select(*KEY, "token", F.col("entity").alias("entity_type"), F.col("surface").alias("cleartext"), F.lit(None).cast("timestamp").alias("expires_at")).distinct()
     by_piece = refs.groupBy(*KEY, "segment").agg(F.array_sort(F.collect_list(F.struct("start", "end", "token", "entity"))).alias("refs"))
     t = F.col("text")
     zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
