@@ -139,25 +139,31 @@ class _Block:
         return self.words[order], n[order], order
 
 
-def _messages(block: int, h: np.ndarray, n: np.ndarray, shards: int) -> pa.RecordBatch:
-    """One message per shard of the hash range."""
-    edges = np.searchsorted(h, (np.arange(1, shards, dtype=object) * (1 << 64) // shards).astype(np.uint64)) if shards > 1 else np.empty(0, np.int64)
+def _edges(shards: int) -> np.ndarray:
+    """Where the shards of the hash range begin, but for the first."""
+    return np.array([(i << 64) // shards for i in range(1, shards)], dtype=np.uint64)
+
+
+def _messages(block: int, h: np.ndarray, n: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
+    """One message per shard that any of the sorted hashes falls in: never more than hashes, however many shards there are."""
+    of = np.searchsorted(edges, h, side="right")
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
     rows = {"shard": [], "block": [], "hashes": [], "counts": []}
-    for i, (lo, hi) in enumerate(zip([0, *edges.tolist()], [*edges.tolist(), len(h)])):
-        if hi > lo:
-            for k, x in zip(rows, (i, block, pack(np.diff(h[lo:hi], prepend=np.uint64(0))), pack(n[lo:hi]))):
-                rows[k].append(x)
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(h)]):
+        for k, x in zip(rows, (int(of[lo]), block, pack(np.diff(h[lo:hi], prepend=np.uint64(0))), pack(n[lo:hi]))):
+            rows[k].append(x)
     return pa.RecordBatch.from_pydict(rows, schema=pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())]))
 
 
 def _ask(kind: str, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = _edges(shards)
         for b in batches:
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
                 block = _Block(*(r[k] for k in ("ids", "held", "lens", "words", "codes")))
                 h, n = block.unigrams()[:2] if kind == "word" else block.bigrams()[:2]
-                yield _messages(r["block"], h, n, shards)
+                yield _messages(r["block"], h, n, edges)
 
     return run
 

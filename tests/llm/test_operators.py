@@ -672,3 +672,18 @@ def test_long_clean_texts_are_not_toxic():
     long = " ".join(plain() for _ in range(5000))
     assert score(long) == pytest.approx(score("w1 w2.")) and score(long) < 0.3
     assert score(long + " you vile scum.") > 0.7
+
+
+def test_lm_messages_hold_every_hash_once():
+    """Whatever the number of shards, none but shards that hashes fall in get a message, and they get all of them."""
+    from maskloom.llm import lm
+
+    rng = np.random.default_rng(4)
+    h = np.unique(np.concatenate([rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2), lm._edges(8)[:3], np.array([0, (1 << 64) - 1], np.uint64)]))
+    n = rng.integers(0, 9, len(h)).astype(np.uint32)
+    for shards in (1, 2, 8, 100_000):
+        got = lm._messages(7, h, n, lm._edges(shards)).to_pylist()
+        back = [np.cumsum(lm.unpack(m["hashes"], np.uint64), dtype=np.uint64) for m in got]
+        assert (np.concatenate(back) == h).all() and (np.concatenate([lm.unpack(m["counts"], np.uint32) for m in got]) == n).all()
+        assert [m["shard"] for m in got] == sorted({int(x) * shards >> 64 for x in h}) and all({int(x) * shards >> 64 for x in b} == {m["shard"]} for b, m in zip(back, got))
+    assert lm._messages(7, h[:0], n[:0], lm._edges(8)).num_rows == 0
