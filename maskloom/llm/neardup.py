@@ -247,7 +247,7 @@ _MEMBER = ["rep", "n", "shared", "central", "label"]
 def _deep_lists(signatures: DataFrame, members: DataFrame, depth: int, percent: int) -> DataFrame:
     """members under longer keys: a row for each key."""
     rows = members.join(signatures, "rep").select(*_MEMBER, "sig")
-    return rows.mapInArrow(_keyer(depth, tables_for(depth, percent)), ", ".join(f"{c} long" for c in [*_MEMBER, "key"]))
+    return rows.mapInArrow(_keyer(depth, tables_for(depth, percent)), ", ".join(f"{c} long" for c in [*_MEMBER, "i", "key"]))
 
 
 def _parted(lists: DataFrame) -> DataFrame:
@@ -285,8 +285,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
     classes = ws.cut(usable.join(leaders.select("d1", "d2", "n", F.col("rep").alias("doc_id")), ["d1", "d2", "n", "doc_id"], "left_semi").dropDuplicates(["d1", "d2", "n"]).select(F.col("doc_id").alias("rep"), "n", "sketch"), "classes")
 
     values = classes.select("rep", F.explode(F.slice("sketch", 1, PREFIX)).alias("v"))
-    hot = ws.cut(values.groupBy("v").count().where(F.col("count") > HOT).select("v"), "hot")
-    marked = values.join(hot.withColumn("hot", F.lit(True)), "v", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    hot = ws.cut(values.groupBy("v").agg(F.count("*").alias("held")).where(F.col("held") > HOT), "hot")
+    marked = values.join(hot, "v", "left").withColumn("hot", F.col("held").isNotNull())
     info = classes.select("rep", "n", "sketch")
     a, b = info.toDF("a", "na", "sa"), info.toDF("b", "nb", "sb")
     error = 5 * (percent / 100 * (1 - percent / 100) / k) ** 0.5
@@ -304,14 +304,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
 
     # classes with many hot values: lists under pairs of minima of sketch bins
     leader_texts = lambda e: _only(texts, e).join(e, "rep", "left_semi").dropDuplicates(["rep"])
-    crowded = ws.cut(marked.groupBy("rep").agg(F.sum(F.col("hot").cast("int")).alias("hot"), F.count("*").alias("all")).where("3 * hot > all").select("rep"), "crowded")
-    full = ws.cut(leader_texts(crowded).mapInArrow(_exploder(size), "rep long, v long"), "full")
-    # Two crowded sets either share a cold value of theirs, or no more than their hot values. central: how well a set is known.
-    sized = full.join(full.groupBy("v").agg(F.count("*").alias("df")), "v")
-    own = ws.cut(sized.groupBy("rep").agg(F.sum((F.col("df") <= HOT).cast("long")).alias("own"), F.sum((F.col("df") == 1).cast("long")).alias("only"), F.sum("df").alias("central")), "own")
+    crowded = ws.cut(marked.groupBy("rep").agg(F.count("held").alias("hot"), F.count("*").alias("all"), F.avg("held").alias("held")).where("3 * hot > all").select("rep", "held"), "crowded")
+    full = ws.cut(leader_texts(crowded.select("rep")).mapInArrow(_exploder(size), "rep long, v long"), "full")
+    # Two crowded sets either share a cold value of theirs, or no more than their hot values. Rows of values that more than HOT
+    # sets have are set aside unjoined (they are n - own of a set), so what is listed by value is HOT rows a value at most.
+    common = full.groupBy("v").count().where(F.col("count") > HOT).select("v")
+    scarce = ws.cut(full.join(common, "v", "left_anti").groupBy("v").agg(F.collect_list("rep").alias("reps")), "scarce")
+    ws.drop("full")
+    counted = scarce.select(F.explode("reps").alias("rep"), (F.size("reps") == 1).cast("long").alias("only")).groupBy("rep").agg(F.count("*").alias("own"), F.sum("only").alias("only"))
+    own = crowded.join(sizes, "rep").join(counted, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("only", F.coalesce("only", F.lit(0)))
+    # central: how well a set is known, as its common values and the mean count of the hot ones among its smallest tell
+    own = ws.cut(own.select("rep", "own", "only", ((F.col("n") - F.col("own")) * F.col("held")).cast("long").alias("central")), "own")
     room = F.col("n") * (100 - percent)
     able = own.join(sizes, "rep").where(F.col("only") * 100 <= room)
-    rare = sized.where(F.col("df").between(2, HOT)).join(able, "rep", "left_semi").groupBy("v").agg(F.collect_list("rep").alias("reps"))
+    rare = scarce.where(F.size("reps") > 1).select("v", F.explode("reps").alias("rep")).join(able, "rep", "left_semi").groupBy("v").agg(F.collect_list("rep").alias("reps"))
     rare_pairs = paired(rare)
     minima = lambda s: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.array_min(F.filter(s, lambda x: F.pmod(x, F.lit(BINS)) == i)))
     dense = ws.cut(info.join(own, "rep").where(F.col("own") * 100 <= room).withColumn("m", minima(F.col("sketch"))).drop("sketch"), "dense")
