@@ -43,6 +43,8 @@ from .common import Workspace, ascii_lower, chunks, hash64, mix64, word_codes
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 CHUNK, K, PREFIX, HOT, MEET, BINS = 1_000_000, 64, 24, 48, 3, 32
+#: How many of its long lists, by key, a member meets the hub of: most lists of a group have the same hub.
+HUBS = 4
 #: Of the longer keys that split long lists: minima in a key, and slots that they are of.
 DEPTHS, SLOTS = (4, 8, 12), 128
 BLOCK = 1024
@@ -236,7 +238,7 @@ def _keyer(depth: int, tables: int):
                     for j in range(depth):
                         key = mix64(key * _GOLD + sig[:, picks[:, j]])
                 again = lambda c: pa.array(np.repeat(part.column(c).to_numpy(), tables))
-                yield pa.RecordBatch.from_arrays([*map(again, _MEMBER), pa.array(key.ravel().view(np.int64))], names=[*_MEMBER, "key"])
+                yield pa.RecordBatch.from_arrays([*map(again, _MEMBER), pa.array(np.tile(np.arange(tables), part.num_rows)), pa.array(key.ravel().view(np.int64))], names=[*_MEMBER, "i", "key"])
 
     return run
 
@@ -328,7 +330,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
     short = listed.join(counts.where(F.col("m") <= HOT), "key", "left_semi").groupBy("key").agg(F.collect_list("rep").alias("reps"))
     near = rare_pairs.union(paired(short)).distinct().join(a, "a").join(b, "b").where(alike).select("a", "b")
     long_lists = ws.cut(listed.join(counts.where(F.col("m") > HOT), "key", "left_semi"), "long")
-    hub_pairs = _hub_pairs(long_lists).join(a, "a").join(b, "b").where(alike).select("a", "b")
+    hub_pairs = _hub_pairs(long_lists.where(F.col("i") < HUBS)).join(a, "a").join(b, "b").where(alike).select("a", "b")
 
     first = ws.cut(pairs.union(near).union(hub_pairs).distinct(), "pairs")
     ends = first.select(F.col("a").alias("rep")).union(first.select("b")).distinct()
@@ -363,7 +365,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
             mates = lists.join(counts.where(F.col("m") <= HOT), "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("rep", "n", "shared", "label")).alias("r"))
             rest = ws.cut(lists.join(counts.where(F.col("m") > HOT), "key", "left_semi"), f"long{depth}")
             # a pair at the threshold shares many keys: of the short lists two, or most of its lists are long and it goes on
-            found = _mates(mates, percent).groupBy("a", "b").count().where("count > 1").select("a", "b").union(_hub_pairs(rest)).distinct()
+            found = _mates(mates, percent).groupBy("a", "b").count().where("count > 1").select("a", "b").union(_hub_pairs(rest.where(F.col("i") < 2 * HUBS))).distinct()
             members = rest.select("rep").distinct()
             if depth == DEPTHS[-1]:  # what no key has split
                 found = found.union(_rest_pairs(rest.join(_parted(rest), "key"), percent)).distinct()
