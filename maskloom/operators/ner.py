@@ -29,10 +29,12 @@ LABELS = {
 }
 
 
-def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP, most: int = MOST_CHUNKS) -> Iterator[tuple[int, str]]:
-    """(start, piece): cut at the last line end within the piece, else the last blank; later pieces than `most` are not read."""
-    at = 0
-    for _ in range(most):
+def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP, most: int | None = None) -> Iterator[tuple[int, str]]:
+    """(start, piece): cut at the last line end within the piece, else the last blank; the whole text, or `most` pieces of it
+    (MOST_CHUNKS where results must match engines with that limit)."""
+    at, left = 0, most
+    while left is None or left > 0:
+        left = left and left - 1
         end = min(len(text), at + size)
         if end < len(text):
             cut = max(text.rfind("\n", at + overlap + 1, end), -1)
@@ -114,14 +116,14 @@ def trim_title(text: str, start: int, end: int) -> int:
     return end - len(rest) if first.lower() in TITLES and rest[:1].isupper() else start
 
 
-def model_recognizer(name: str, load: Callable[[], Callable[[str], list[tuple[int, int, float, str]]]], entities: tuple[str, ...], languages: tuple[str, ...] = ("*",)) -> Recognizer:
-    """A recognizer over a scorer of one chunk. `load` runs once per worker."""
+def model_recognizer(name: str, load: Callable[[], Callable[[str], list[tuple[int, int, float, str]]]], entities: tuple[str, ...], languages: tuple[str, ...] = ("*",), most: int | None = None) -> Recognizer:
+    """A recognizer over a scorer of one chunk, of which a text has `most` (None: all). `load` runs once per worker."""
     held: list = []
 
     def run(text: str) -> list[tuple[int, int, float, str]]:
         if not held:
             held.append(load())
-        return dedupe([(at + s, at + e, score, entity) for at, piece in chunks(text) for s, e, score, entity in held[0](piece)])
+        return dedupe([(at + s, at + e, score, entity) for at, piece in chunks(text, most=most) for s, e, score, entity in held[0](piece)])
 
     return Recognizer(name, entities, languages, fn=run, model=True)
 

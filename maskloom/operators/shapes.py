@@ -21,6 +21,7 @@ SHAPES = {
 }
 BASE64, BASE64_SIGN = r"^[A-Za-z0-9+/_=-]{24,}$", r"[0-9+/_=]"
 MODEL_LOOSE, DIGIT = r"^[a-z][a-z0-9.]*(-[a-z0-9.]+)+$", r"[0-9]"
+NO_LETTERS = r"^[\d\p{P}\p{S}\s]+$"  # ages are numbers, so it holds for the other entities
 SNAKE, SNAKE_NAME = r"^[A-Za-z0-9]+(_[A-Za-z0-9]+)+$", r"^[A-Z][a-z]+(_[A-Z][a-z]+)+\d{0,4}$"
 MONEY_SHAPE = r"^\s*(?:(?:EUR|USD|GBP|CHF|€|\$|£)\s*\d[\d.,]*|\d[\d.,]*\s*(?:EUR|USD|GBP|CHF|€|\$|£))\s*$"
 LEGAL = r"§|\b(?:ZPO|BGB|StGB|StPO|HGB|GG|InsO|FamFG|GVG|AktG|GmbHG|EGBGB|RVG|GKG|VwGO|SGB|AO)\b"
@@ -57,7 +58,7 @@ def rejected(entity: Column, surface: Column, shapes: bool = True, money: bool =
         out = out | (entity.isin("ID", "POSTAL_CODE") & has(MONEY_SHAPE))
     out = out | (fuzzy & low.isin(*sorted(NOT_NAMES)))
     if shapes:
-        out = out | (fuzzy & is_structural_col(surface))
+        out = out | (fuzzy & (is_structural_col(surface) | ((entity != "AGE") & has(NO_LETTERS))))
     if stop:
         out = out | (fuzzy & low.isin(*stop))
     if legal:

@@ -148,6 +148,10 @@ def test_ner_helpers(spark):
     text = "word " * 1000
     pieces = list(ner.chunks(text))
     assert pieces[0][0] == 0 and all(text[at : at + len(p)] == p for at, p in pieces) and pieces[-1][0] + len(pieces[-1][1]) == len(text)
+    long = "word " * 40_000
+    pieces = list(ner.chunks(long))
+    assert len(pieces) > ner.MOST_CHUNKS and pieces[-1][0] + len(pieces[-1][1]) == len(long)
+    assert len(list(ner.chunks(long, most=ner.MOST_CHUNKS))) == ner.MOST_CHUNKS and list(ner.chunks(long, most=0)) == []
     d = ner.Decoder()
     spans_ = ner.words("Dr. Anna Lee")
     assert ner.decode_spans({(2, 3, "person"): 3.0, (3, 3, "person"): 2.0, (0, 0, "age"): -9.0}, spans_, d) == [(4, 12, ner.sigmoid(3.0), "PERSON")]
@@ -156,8 +160,8 @@ def test_ner_helpers(spark):
     ner.verify([r])
     found = analyze(spark.createDataFrame([("Ann x",)], "text string"), registry=Registry([r])).first().findings
     assert found[0].recognizer == "GLiNERPool" and analyze(spark.createDataFrame([("Ann x",)], "text string"), registry=Registry([r]), config=AnalysisConfig(no_models=True)).first().findings == []
-    got = spark.createDataFrame([("ID", "EUR 12,50"), ("PERSON", "MAX_VALUE"), ("PERSON", "Anna")], "e string, s string").select(rejected(F.col("e"), F.col("s"))).collect()
-    assert [x[0] for x in got] == [True, True, False]
+    got = spark.createDataFrame([("ID", "EUR 12,50"), ("PERSON", "MAX_VALUE"), ("PERSON", "Anna"), ("PERSON", "12:30 / 4"), ("AGE", "42"), ("ID", "12-4")], "e string, s string").select(rejected(F.col("e"), F.col("s"))).collect()
+    assert [x[0] for x in got] == [True, True, False, True, False, False]
 
 
 def test_evaluation_small(spark):
