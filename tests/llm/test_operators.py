@@ -301,6 +301,31 @@ def test_mixing_takes_prefixes(odd_docs, no_docs, fraction, epochs):
     assert M.mix(no_docs, dom).count() == 0
 
 
+@pytest.mark.parametrize("fraction, epochs", [(0.5, 1), (0.9, 1), (1.5, 3)])
+def test_mixing_against_brute_force(spark, fraction, epochs):
+    """Each leaf gives its full epochs, then the longest prefix in the epoch's order that its budget holds."""
+    rng = random.Random(7)
+    rows = [(i, prose(rng, rng.randrange(1, 40)), rng.choice(["en", "de", None]), rng.choice(["src0", "src0", "src1", "src6", None])) for i in range(300)]
+    rows += rows[:9]  # repeated rows share a place in the order
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    dom, orders = M.source_domain(F.col("source")), [F.shiftrightunsigned(F.xxhash64(F.lit(29), F.lit(e), F.col("doc_id")), 1).alias(f"h{e}") for e in range(epochs + 1)]
+    leaf = defaultdict(list)
+    for r in M.mix(docs, dom, fraction=fraction, epochs=epochs).select("*", dom.alias("d"), *orders).collect():
+        leaf[r.d, r.lang, r.source].append(r)
+    size = {k: sum(r.n_tokens for r in v) for k, v in leaf.items()}
+    budget = M.budgets(list(size.items()), fraction * sum(size.values()), {}, 0.7, epochs)
+    some = 0
+    for k, v in leaf.items():
+        full = min(epochs, int(budget[k] // size[k]))
+        left, want = budget[k] - full * size[k], {}
+        for h in sorted({r[f"h{full}"] for r in v}):
+            left -= sum(r.n_tokens for r in v if r[f"h{full}"] == h)
+            want[h] = full + (left >= 0)
+        assert all(r.copies == want[r[f"h{full}"]] for r in v)
+        some += sum(r.copies for r in v)
+    assert some > 0
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------
 
 
