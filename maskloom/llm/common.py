@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 #: Bytes of an Arrow batch: Spark's own bound is 64 MB, which JVM and Python both hold, more than once, for each task.
 BATCH_BYTES = 4 << 20
+#: Rows that a task writes at least, where the size of a table is known.
+TASK_ROWS = 2048
 _own_dir: dict[str, str] = {}
 
 
@@ -34,6 +36,11 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+def few_tasks(df: DataFrame, rows: int | None) -> DataFrame:
+    """df, of `rows` rows at most, by no more tasks than have TASK_ROWS each."""
+    return df if rows is None else df.coalesce(rows // TASK_ROWS + 1)
+
+
 class Workspace:
     """Tables written to cut lineage, in the shared folder that spark.checkpoint.dir names.
 
@@ -55,7 +62,9 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """rows: how many there are at most, where that is known: a small table is written by few tasks, not by one a partition."""
+        df = few_tasks(df, rows)
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

@@ -12,7 +12,8 @@ function. Equal sets form a class; classes are linked where the Jaccard index of
      documents share) are also listed under pairs of minima of sketch bins. Long lists of those are first resolved around
      a hub: the member nearest to the others is compared with all, so a group of m near copies costs about m comparisons,
      not m * m. Where then HOT members at most are outside a list's largest component, those are compared with all. The
-     other lists are split: their members are listed anew under more and longer keys (4, 8, then 12 minima of SLOTS slots
+     members of the other lists, where they are few in all (FEW, FEW_VALUES), are compared with each other on their full sets.
+     Otherwise the lists are split: their members are listed anew under more and longer keys (4, 8, then 12 minima of SLOTS slots
      of the full set). Documents that merely mix the same passages part at once. What the longest keys do not split is
      compared in blocks, members of different components alone.
 4. The union of two sketches estimates the Jaccard index; pairs below the threshold by more than 5 standard errors go.
@@ -36,10 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, ascii_lower, chunks, hash64, mix64, word_codes
+from .common import Workspace, ascii_lower, chunks, few_tasks, hash64, mix64, word_codes
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 CHUNK, K, PREFIX, HOT, MEET, BINS = 1_000_000, 64, 24, 48, 3, 32
@@ -48,6 +49,10 @@ HUBS = 4
 #: Of the longer keys that split long lists: minima in a key, and slots that they are of.
 DEPTHS, SLOTS = (4, 8, 12), 128
 BLOCK = 1024
+#: Members of open lists, and values of theirs, up to which they are compared with each other at once.
+FEW, FEW_VALUES = 4096, 1_000_000
+#: Links that the driver joins to components itself (16 bytes each), and ids that it gathers for a filter (8 bytes each).
+HELD = 1 << 18
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,9 +137,13 @@ def _only(texts: DataFrame, ids: DataFrame, most_bits: int = 26) -> DataFrame:
     n = ids.count()
     bits = min(most_bits, max(10, (16 * n).bit_length()))
     h = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
-    got = ids.select(h(F.col("rep")).alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("m")).toPandas()
-    mask = np.zeros(1 << (bits - 6), np.int64)
-    mask[got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64)
+    mask, hashed = np.zeros(1 << (bits - 6), np.int64), ids.select(h(F.col("rep")).alias("h"))
+    if n <= HELD:  # as they are, without a shuffle
+        at = hashed.toArrow()["h"].to_numpy()
+        np.bitwise_or.at(mask, at >> 6, np.int64(1) << (at & 63))
+    else:
+        got = hashed.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("m")).toPandas()
+        mask[got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,15 +154,32 @@ def _only(texts: DataFrame, ids: DataFrame, most_bits: int = 26) -> DataFrame:
     return texts.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text", h(F.col("doc_id")).alias("h")).mapInArrow(run, "rep long, text string")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """pairs (a, b) of class leaders whose full sets reach the threshold."""
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, rows: int | None = None) -> DataFrame:
+    """pairs (a, b), `rows` at most, of class leaders whose full sets reach the threshold."""
     with_b = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("b_text")), "b")
     both = with_b.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("a_text")), "a")
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(_verifier(size, percent), "a long, b long")
+    return few_tasks(both.select("a", "b", "a_text", "b_text"), rows).mapInArrow(_verifier(size, percent), "a long, b long")
+
+
+def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of the links (u, v), each once, and the smallest end that each reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y, label = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while (label[x] != label[y]).any():
+        a, b = label[x], label[y]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != label[label]).any():
+            label = label[label]
+    return nodes, nodes[label]
 
 
 def components(ws: Workspace, links: DataFrame, name: str = "cc") -> DataFrame:
-    """(node, label) for every end of a link: the smallest node reachable. Each round halves the distance to it."""
+    """(node, label) for every end of a link: the smallest node reachable. Up to HELD links meet on the driver; more are joined,
+    where each round halves the distance."""
+    if links.count() <= HELD:
+        got = links.select("a", "b").toArrow()
+        nodes, label = smallest_reachable(got["a"].to_numpy(), got["b"].to_numpy())
+        return ws.cut(ws.spark.createDataFrame(pa.table({"node": pa.array(nodes, pa.int64()), "label": pa.array(label, pa.int64())})), name, len(nodes))
     both = ws.cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), f"{name}-edges")
     labels = ws.cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), f"{name}-0")
     step = 0
@@ -179,6 +205,76 @@ def _open(lists: DataFrame) -> DataFrame:
     return lists.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", "m")
 
 
+def _scarce(full: DataFrame) -> DataFrame:
+    """v, rep and held, the sets with v, of the values that HOT sets at most have. A partition gives HOT + 1 rows of a value at
+    most to the shuffle, so what all sets have in common costs no more than the rest."""
+    by = Window.partitionBy("v")
+    first = full.withColumn("place", F.row_number().over(by.orderBy("rep"))).where(F.col("place") <= HOT + 1)
+    return first.withColumn("held", F.count("*").over(by)).where(F.col("held") <= HOT).select("v", "rep", "held")
+
+
+def _packer(size: int):
+    """rep, text, label -> rep, label and the whole set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, CHUNK):
+            sets = shingle_sets(b.column("text").to_pylist(), size)
+            offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("label"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], names=["rep", "label", "vs"])
+
+    return run
+
+
+def shared_counts(xs: list[np.ndarray], ys: list[np.ndarray], wide: int = 4096) -> np.ndarray:
+    """How many values each set of xs has in common with each of ys: products of 0/1 matrices, `wide` values at a time."""
+    both = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+
+    def cells(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column of the values in `both`, by column."""
+        v, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, v), max(len(both) - 1, 0))
+        has = both[at] == v if len(both) else np.zeros(len(v), bool)
+        order = np.argsort(at[has], kind="stable")
+        return row[has][order], at[has][order]
+
+    (xr, xc), (yr, yc) = cells(xs), cells(ys)
+    out = np.zeros((len(xs), len(ys)), np.float32)  # exact below 2 ** 24
+    for lo in range(0, len(both), wide):
+        m = []
+        for r, c, n in ((xr, xc, len(xs)), (yr, yc, len(ys))):
+            a, b = np.searchsorted(c, [lo, lo + wide])
+            m.append(np.zeros((n, min(wide, len(both) - lo)), np.float32))
+            m[-1][r[a:b], c[a:b] - lo] = 1
+        out += m[0] @ m[1].T
+    return out
+
+
+def _crossed(sets: DataFrame, members: int, percent: int) -> DataFrame:
+    """Links (a, b) between sets (rep, label, vs) of different labels, every pair compared on its full sets: blocks of about
+    BLOCK meet two by two."""
+    blocks = -(-members // BLOCK)
+
+    def run(t: pa.Table) -> pa.Table:
+        p, q = t["p"][0].as_py(), t["q"][0].as_py()
+        rep, label, place = (t[c].to_numpy() for c in ("rep", "label", "place"))
+        vs = [np.asarray(x.values) for x in t["vs"]]
+        n = np.array([len(v) for v in vs])
+        i, j = np.flatnonzero(place == p), np.flatnonzero(place == q)
+        if not len(i) or not len(j):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        both = shared_counts([vs[k] for k in i], [vs[k] for k in j]).astype(np.int64)
+        linked = (100 * both >= percent * (n[i][:, None] + n[j][None, :] - both)) & (label[i][:, None] != label[j][None, :])
+        if p == q:
+            linked &= rep[i][:, None] < rep[j][None, :]
+        x, y = np.nonzero(linked)
+        a, b = rep[i[x]], rep[j[y]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    placed = sets.withColumn("place", F.pmod(F.xxhash64("rep"), F.lit(blocks).cast("long")))
+    cells = placed.withColumn("other", F.explode(F.array(*[F.lit(i).cast("long") for i in range(blocks)])))
+    return cells.select("rep", "label", "place", "vs", F.least("place", "other").alias("p"), F.greatest("place", "other").alias("q")).groupBy("p", "q").applyInArrow(run, "a long, b long")
+
+
 def _hub_pairs(lists: DataFrame) -> DataFrame:
     """Each list's members with its hub, the one whose values most others have."""
     hubs = lists.groupBy("key").agg(F.max_by("rep", F.struct("central", F.negate("rep"))).alias("hub"))
@@ -282,66 +378,73 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketched = ws.cut(texts.mapInArrow(_sketcher(size, k), "doc_id long, n long, d1 long, d2 long, sketch array<long>"), "sketch")
     usable = sketched.where("n > 0 and doc_id is not null")
-    leaders = usable.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    # the leader's sketch, once, from the leader's own row
-    classes = ws.cut(usable.join(leaders.select("d1", "d2", "n", F.col("rep").alias("doc_id")), ["d1", "d2", "n", "doc_id"], "left_semi").dropDuplicates(["d1", "d2", "n"]).select(F.col("doc_id").alias("rep"), "n", "sketch"), "classes")
+    # the leader's sketch, from the leader's own row
+    classes = ws.cut(usable.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch")), "classes", sketched.count())
+    n_classes = classes.count()
 
-    values = classes.select("rep", F.explode(F.slice("sketch", 1, PREFIX)).alias("v"))
-    hot = ws.cut(values.groupBy("v").agg(F.count("*").alias("held")).where(F.col("held") > HOT), "hot")
-    marked = values.join(hot, "v", "left").withColumn("hot", F.col("held").isNotNull())
+    values = classes.select("rep", "n", F.explode(F.slice("sketch", 1, PREFIX)).alias("v"))
+    hot = ws.cut(values.groupBy("v").agg(F.count("*").alias("held")).where(F.col("held") > HOT), "hot", n_classes * PREFIX // HOT)
+    marked = values.join(hot, "v", "left")
     info = classes.select("rep", "n", "sketch")
     a, b = info.toDF("a", "na", "sa"), info.toDF("b", "nb", "sb")
     error = 5 * (percent / 100 * (1 - percent / 100) / k) ** 0.5
     alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (estimate(F.col("sa"), F.col("sb"), k) >= percent / 100 - error)
 
-    cold = marked.where(~F.col("hot")).groupBy("v").agg(F.collect_list("rep").alias("reps"))  # HOT members at most
     paired = lambda x: x.where(F.size("reps") > 1).select(F.explode("reps").alias("a"), "reps").select("a", F.explode(F.filter("reps", lambda x: x > F.col("a"))).alias("b")).distinct()
-    # a pair at the threshold shares most cold values of its ends; chance pairs seldom share MEET
-    pairs = cold.where(F.size("reps") > 1).select(F.explode("reps").alias("a"), "reps").select("a", F.explode(F.filter("reps", lambda x: x > F.col("a"))).alias("b"))
-    pairs = pairs.groupBy("a", "b").count().where(F.col("count") >= MEET).select("a", "b")
-    # sizes are compared before sketches are fetched: most chance pairs end there
-    sizes = info.select("rep", "n")
-    pairs = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-    pairs = pairs.join(a, "a").join(b, "b").where(alike).select("a", "b")
+    # a pair at the threshold shares most cold values of its ends; chance pairs seldom share MEET, or differ in size
+    cold = marked.where("held is null").groupBy("v").agg(F.collect_list(F.struct("rep", "n")).alias("r")).where(F.size("r") > 1)  # HOT members at most
+    sized = lambda x, y: F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
+    mates = cold.select(F.explode("r").alias("x"), "r").select(F.col("x.rep").alias("a"), F.explode(F.transform(F.filter("r", lambda y: (y["rep"] > F.col("x.rep")) & sized(F.col("x"), y)), lambda y: y["rep"])).alias("b"))
+    pairs = mates.groupBy("a", "b").count().where(F.col("count") >= MEET).select("a", "b")
 
     # classes with many hot values: lists under pairs of minima of sketch bins
     leader_texts = lambda e: _only(texts, e).join(e, "rep", "left_semi").dropDuplicates(["rep"])
-    crowded = ws.cut(marked.groupBy("rep").agg(F.count("held").alias("hot"), F.count("*").alias("all"), F.avg("held").alias("held")).where("3 * hot > all").select("rep", "held"), "crowded")
-    full = ws.cut(leader_texts(crowded.select("rep")).mapInArrow(_exploder(size), "rep long, v long"), "full")
-    # Two crowded sets either share a cold value of theirs, or no more than their hot values. Rows of values that more than HOT
-    # sets have are set aside unjoined (they are n - own of a set), so what is listed by value is HOT rows a value at most.
-    common = full.groupBy("v").count().where(F.col("count") > HOT).select("v")
-    scarce = ws.cut(full.join(common, "v", "left_anti").groupBy("v").agg(F.collect_list("rep").alias("reps")), "scarce")
-    ws.drop("full")
-    counted = scarce.select(F.explode("reps").alias("rep"), (F.size("reps") == 1).cast("long").alias("only")).groupBy("rep").agg(F.count("*").alias("own"), F.sum("only").alias("only"))
-    own = crowded.join(sizes, "rep").join(counted, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("only", F.coalesce("only", F.lit(0)))
+    crowded = ws.cut(marked.groupBy("rep", "n").agg(F.count("held").alias("hot"), F.count("*").alias("all"), F.avg("held").alias("held")).where("3 * hot > all").select("rep", "n", "held"), "crowded", n_classes)
+    n_crowded = crowded.count()
+    # Two crowded sets either share a cold value of theirs, or no more than their hot values. Values that more than HOT
+    # sets have are set aside (they are n - own of a set).
+    scarce = ws.cut(_scarce(leader_texts(crowded.select("rep")).mapInArrow(_exploder(size), "rep long, v long")), "scarce")
+    counted = scarce.groupBy("rep").agg(F.count("*").alias("own"), F.sum((F.col("held") == 1).cast("long")).alias("only"))
+    own = crowded.join(counted, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("only", F.coalesce("only", F.lit(0)))
     # central: how well a set is known, as its common values and the mean count of the hot ones among its smallest tell
-    own = ws.cut(own.select("rep", "own", "only", ((F.col("n") - F.col("own")) * F.col("held")).cast("long").alias("central")), "own")
+    own = ws.cut(own.select("rep", "n", "own", "only", ((F.col("n") - F.col("own")) * F.col("held")).cast("long").alias("central")), "own", n_crowded)
     room = F.col("n") * (100 - percent)
-    able = own.join(sizes, "rep").where(F.col("only") * 100 <= room)
-    rare = scarce.where(F.size("reps") > 1).select("v", F.explode("reps").alias("rep")).join(able, "rep", "left_semi").groupBy("v").agg(F.collect_list("rep").alias("reps"))
-    rare_pairs = paired(rare)
+    able = own.where(F.col("only") * 100 <= room).select("rep")
+    rare = scarce.where("held > 1").join(able, "rep", "left_semi").groupBy("v").agg(F.collect_list("rep").alias("reps"))
     minima = lambda s: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.array_min(F.filter(s, lambda x: F.pmod(x, F.lit(BINS)) == i)))
-    dense = ws.cut(info.join(own, "rep").where(F.col("own") * 100 <= room).withColumn("m", minima(F.col("sketch"))).drop("sketch"), "dense")
+    dense = ws.cut(classes.select("rep", "sketch").join(own.where(F.col("own") * 100 <= room), "rep").withColumn("m", minima(F.col("sketch"))).drop("sketch"), "dense", n_crowded)
     keys = F.transform(F.sequence(F.lit(0), F.lit(BINS // 2 - 1)), lambda i: F.when(F.coalesce(F.element_at("m", i * 2 + 1), F.element_at("m", i * 2 + 2)).isNotNull(), F.xxhash64(i, F.element_at("m", i * 2 + 1), F.element_at("m", i * 2 + 2))))  # empty bins say nothing
     dense = ws.cut(dense.withColumn("keys", keys).drop("m"), "keyed")
     listed = ws.cut(dense.select("rep", "n", (F.col("n") - F.col("own")).alias("shared"), "central", "keys", F.posexplode("keys").alias("i", "key")).where("key is not null"), "listed")
+    n_listed = listed.count()
     counts = listed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     short = listed.join(counts.where(F.col("m") <= HOT), "key", "left_semi").groupBy("key").agg(F.collect_list("rep").alias("reps"))
-    near = rare_pairs.union(paired(short)).distinct().join(a, "a").join(b, "b").where(alike).select("a", "b")
-    long_lists = ws.cut(listed.join(counts.where(F.col("m") > HOT), "key", "left_semi"), "long")
-    hub_pairs = _hub_pairs(long_lists.where(F.col("i") < HUBS)).join(a, "a").join(b, "b").where(alike).select("a", "b")
-
-    first = ws.cut(pairs.union(near).union(hub_pairs).distinct(), "pairs")
-    ends = first.select(F.col("a").alias("rep")).union(first.select("b")).distinct()
-    links = ws.cut(_verified(first, ws.cut(leader_texts(ends), "ends"), size, percent), "links")
+    long_lists = ws.cut(listed.join(counts.where(F.col("m") > HOT), "key", "left_semi"), "long", n_listed)
+    # candidates of all kinds meet their sketches once
+    met = pairs.union(paired(rare)).union(paired(short)).union(_hub_pairs(long_lists.where(F.col("i") < HUBS))).distinct()
+
+    first = ws.cut(met.join(a, "a").join(b, "b").where(alike).select("a", "b"), "pairs")
+    n_first = first.count()
+    ends = ws.cut(first.select(F.col("a").alias("rep")).union(first.select("b")).distinct(), "linked", 2 * n_first)
+    end_texts = ws.cut(leader_texts(ends), "ends", ends.count())
+    links = ws.cut(_verified(first, end_texts, size, percent, n_first), "links")
     ws.drop("ends")
     labels = components(ws, links)
 
-    tried = first
+    tried, parts = first, None
     if not long_lists.isEmpty():
-        placed = ws.cut(_labelled(long_lists, labels), "placed")
-        parts = ws.cut(_parted(placed), "parted")
+        placed = ws.cut(_labelled(long_lists, labels), "placed", n_listed)
+        parts = ws.cut(_parted(placed), "parted", n_listed // HOT)
+    if parts is not None and not parts.isEmpty():
+        members = ws.cut(placed.join(parts, "key", "left_semi").select("rep", "n", "label").distinct(), "open", n_crowded)
+        n_open, n_values = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if n_open <= FEW and n_values <= FEW_VALUES:
+            sets = few_tasks(leader_texts(members.select("rep")).join(members.select("rep", "label"), "rep"), n_open).mapInArrow(_packer(size), "rep long, label long, vs array<long>")
+            more = ws.cut(_crossed(sets, n_open, percent), "crossed")
+            if not more.isEmpty():
+                labels = components(ws, links.union(more), "cc-crossed")
+            parts = None
+    if parts is not None and not parts.isEmpty():
         few = placed.join(parts.where(F.col("rest") <= HOT), "key")
         found = _rest_pairs(few, percent, ["keys", "i"])
         members = placed.join(parts.where(F.col("rest") > HOT), "key", "left_semi").select("rep").distinct()
@@ -355,7 +458,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
                 labels = components(ws, links, f"cc{depth}")
             if members is None or depth is None:
                 break
-            members = ws.cut(_labelled(members.join(own, "rep").join(sizes, "rep").select("rep", "n", (F.col("n") - F.col("own")).alias("shared"), "central"), labels).select(*_MEMBER), f"members{depth}")
+            members = ws.cut(_labelled(members.join(own, "rep").select("rep", "n", (F.col("n") - F.col("own")).alias("shared"), "central"), labels).select(*_MEMBER), f"members{depth}")
             if members.isEmpty():
                 break
             if depth == DEPTHS[0]:
@@ -371,7 +474,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, k: int =
                 found = found.union(_rest_pairs(rest.join(_parted(rest), "key"), percent)).distinct()
                 members = None
 
-    members = usable.select("d1", "d2", "n", "doc_id").join(leaders, ["d1", "d2", "n"]).select("doc_id", "n", "rep")
+    members = usable.select("d1", "d2", "n", "doc_id").join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]).select("doc_id", "n", "rep")
     placed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
     alone = sketched.where("not (n > 0 and doc_id is not null)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return placed.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -712,3 +712,39 @@ def test_lm_messages_hold_every_hash_once():
         assert (np.concatenate(back) == h).all() and (np.concatenate([lm.unpack(m["counts"], np.uint32) for m in got]) == n).all()
         assert [m["shard"] for m in got] == sorted({int(x) * shards >> 64 for x in h}) and all({int(x) * shards >> 64 for x in b} == {m["shard"]} for b, m in zip(back, got))
     assert lm._messages(7, h[:0], n[:0], lm._edges(8)).num_rows == 0
+
+
+def test_common_values_are_set_aside_without_a_join(spark, monkeypatch):
+    """Values that more than HOT sets have are dropped where they are counted; the others keep all their sets."""
+    monkeypatch.setattr(N, "HOT", 3)
+    rows = [(r, v) for v, held in ((1, 1), (2, 3), (3, 4), (4, 500)) for r in range(held)]
+    got = N._scarce(spark.createDataFrame(rows, "rep long, v long").repartition(4))
+    assert sorted((r.v, r.rep, r.held) for r in got.collect()) == [(1, 0, 1), (2, 0, 3), (2, 1, 3), (2, 2, 3)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_a_crowd_takes_few_tables(spark, monkeypatch, few):
+    """Members of open lists are compared at once where they are few, and parted by longer keys where not: alike."""
+    monkeypatch.setattr(N, "HOT", 8)
+    monkeypatch.setattr(N, "BLOCK", 16)
+    if not few:
+        monkeypatch.setattr(N, "FEW", 0)
+        monkeypatch.setattr(N, "HELD", 0)
+    written, cut = [], Workspace.cut
+    monkeypatch.setattr(Workspace, "cut", lambda self, df, name, *rows: (written.append(name), cut(self, df, name, *rows))[1])
+    rnd = random.Random(5)
+    parts = [" ".join(f"p{i}w{j}" for j in range(40)) for i in range(8)]
+    texts = [" ".join(parts[k] for k in sorted(rnd.sample(range(8), rnd.choice([5, 6, 7])))) + f" z{rnd.randrange(60)}" for _ in range(120)]
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == _linked(texts)
+    assert ("crossed" in written) == few and (not few or len(written) <= 22), written
+
+
+def test_shared_counts_are_those_of_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(-50, 50, rng.integers(1, 40))) for _ in range(30)]
+    want = [[len(set(x) & set(y)) for y in sets] for x in sets]
+    assert N.shared_counts(sets, sets, wide=7).tolist() == want
+    assert N.shared_counts(sets[:1], [np.array([99])]).tolist() == [[0]]
