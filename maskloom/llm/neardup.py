@@ -18,7 +18,7 @@ function. Equal sets form a class; classes are linked where the Jaccard index of
      compared in blocks, members of different components alone.
 4. The union of two sketches estimates the Jaccard index; pairs below the threshold by more than 5 standard errors go.
 5. The remaining pairs are verified on their full sets, recomputed from the two texts.
-6. Linked classes meet in components by minimum labels with pointer jumping, all in DataFrames.
+6. Linked classes meet in components by minimum labels with pointer jumping: on the driver up to HELD links, beyond that in DataFrames.
 
 Of 24 retained values at least 16 are cold, and a pair at the threshold of 0.85 shares fewer than MEET of them with a
 probability of about 1e-6 at worst; with fewer cold values the second kind of list applies (16 keys, each shared with a probability over 0.7: miss below 1e-8).
