@@ -37,9 +37,10 @@ def numbered(findings: DataFrame) -> DataFrame:
     return findings.repartition(*KEY).withColumn("_first", first).withColumn("token", build_token(F.col("entity"), F.col("tenant_id"), number)).drop("_first")
 
 
-def ingest(docs: DataFrame, registry=None, config=None, content: str = "content", format_column: str | None = None) -> tuple[DataFrame, DataFrame]:
+def ingest(docs: DataFrame, registry=None, config=None, content: str = "content", format_column: str | None = None, merge: bool = True) -> tuple[DataFrame, DataFrame]:
     """docs: tenant_id, id, content, maybe a format and language -> (records, vault). The content's pieces are analysed, values
-    get tokens, pieces are rewritten and the content is put together again. Offsets of tokens are within their piece."""
+    get tokens, pieces are rewritten and the content is put together again. Offsets of tokens are within their piece. merge:
+    neighbours of one entity are one value (see AnonymizerConfig)."""
     from ..functions.language import detect_language
     from ..plans.analyze import analyze
     from ..sources.formats import rebuild, resolve_auto, segments, strip_ansi_col
@@ -51,7 +52,8 @@ def ingest(docs: DataFrame, registry=None, config=None, content: str = "content"
     base = docs.withColumn(content, clean).withColumn("_kind", kind)
     pieces = segments(base, [*KEY], content, F.col("_kind")).withColumn("lang", F.coalesce(F.nullif(detect_language(F.col("text")), F.lit("")), F.lit("en")))
     found = analyze(pieces, language="lang", config=config, registry=registry)
-    found = found.withColumn("findings", merge_adjacent_col(resolve_col(F.col("findings")), F.col("text")))
+    resolved = resolve_col(F.col("findings"))
+    found = found.withColumn("findings", merge_adjacent_col(resolved, F.col("text")) if merge else resolved)
     rows = found.select(*KEY, "segment", F.explode("findings").alias("f"), "text").select(*KEY, "segment", "f.start", "f.end", "f.entity", F.substring("text", (F.col("f.start") + 1).cast("int"), (F.col("f.end") - F.col("f.start")).cast("int")).alias("surface"))
     refs = numbered(rows)
     vault = refs.select(*KEY, "token", F.col("entity").alias("entity_type"), F.col("surface").alias("cleartext"), F.lit(None).cast("timestamp").alias("expires_at")).distinct()

@@ -75,6 +75,10 @@ def test_addresses_side_by_side_are_rewritten_one_by_one(spark, neighbours, tmp_
     _same_as_sql(spark, tmp_path, names, documents=neighbours)
 
 
+def test_addresses_side_by_side_have_tokens_of_their_own(spark, neighbours, tmp_path):
+    _same_as_sql(spark, tmp_path, ["tokens_mint", "tokens_detokenize", "tokens_unlinked", "tokens_reveal_identity", "vault_delete"], documents=neighbours)
+
+
 def test_ascii_boundaries_in_catalyst(spark):
     got = spark.createDataFrame([(" Österreich",)], "t string").select(F.regexp_extract("t", java(r"\b[A-Za-zÄÖÜ][a-zäöüß]+"), 0)).first()[0]
     assert got == "sterreich"
