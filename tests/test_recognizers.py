@@ -1,10 +1,12 @@
 import random
+import re
 import re._parser as parser
 
 import pytest
 
 from maskloom.functions import checksums as C
-from maskloom.functions.dialect import java, python
+from maskloom.functions.dialect import explicit, java, lead, python
+from maskloom.operators import patterns as P
 from maskloom.operators.patterns import DEFAULT
 from maskloom.operators.registry import Recognizer, Registry, deny_list
 from maskloom.operators.resolve import VALIDATED, cover, merge_adjacent, resolve
@@ -181,6 +183,28 @@ def test_guards_let_every_alternative_through(r):
         assert made and [t for t in made if not guard.search(t)] == []
 
 
+@pytest.mark.parametrize("r", [r for r in DEFAULT if r.patterns], ids=lambda r: r.name)
+def test_looking_ahead_changes_no_match(r):
+    """What stands in front of a translated pattern lets every match of the pattern through, in texts of its own surfaces in
+    either case, next to each other and to letters."""
+    rng = random.Random(2)
+    for pattern in (p[0] for p in r.patterns if lead(p[0])):
+        plain = re.compile(explicit(pattern), re.I if "(?i)" in pattern else 0) if not pattern.isascii() else re.compile(explicit(pattern), re.A)
+        tree = parser.parse(pattern)
+        for want in [{}, *_branches(tree)]:
+            made = [_surface(tree, rng, want) for _ in range(12)]
+            text = "".join(f(t) + rng.choice([" ", "", "x ", " é", "_", "\n", ", ſ"]) for t in made for f in (str, str.upper, str.swapcase))
+            assert [m.span() for m in python(pattern).finditer(text)] == [m.span() for m in plain.finditer(text)]
+
+
+def test_patterns_know_what_they_start_with():
+    assert lead(P.URL) == ("[FHWfhw]", True, True) and lead(P.US_DRIVER_LICENSE) == ("[0-9A-Z]", True, True) and lead(P.PHONE)[1:] == (False, False)
+    assert lead(r"a*") is lead(r"^a") is lead(r"[^a]b") is lead(r"\p{L}") is None and lead(r"x?\by")[1] is False and lead(r"\bx?y")[1] is True
+    assert "ſ" in lead("(?i)sé")[0] and "ẞ" in lead("(?i)ß")[0] and lead("(?i:é)b")[0] == "[Éé]"
+    for p in (P.SECRET, P.URL, P.DATE_TIME, P.US_DRIVER_LICENSE):
+        assert java(p).removeprefix("(?d)").removeprefix("(?i)").startswith("(?=[")
+
+
 def test_federal_finance_court_is_found():
     assert ("Bundesfinanzhof", "ORGANIZATION", 0.9) in run("Der Bundesfinanzhof hat am Montag entschieden.", "de")
     assert any(t.startswith("Anwaltskanzlei") and e == "ORGANIZATION" for t, e, _ in run("Die Anwaltskanzlei Meier schrieb.", "de"))

@@ -2,12 +2,13 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from maskloom.functions.dialect import java
+from maskloom.functions.dialect import java, python
 from maskloom.functions.language import detect_language
 from maskloom.functions.spans import spans
 from maskloom.operators import anonymize as A
 from maskloom.operators import evaluate as E
 from maskloom.operators import ner
+from maskloom.operators import patterns as P
 from maskloom.operators import synthesize as S
 from maskloom.operators import vault as V
 from maskloom.operators.registry import Registry
@@ -89,6 +90,16 @@ def test_spans_offsets_are_code_points(spark):
     assert [(x.start, x.end, x.surface) for x in r[0].s] == [(3, 9, "a@b.co"), (11, 18, "c@d.org")] and r[1].s == [] and r[2].s == []
 
 
+def test_spans_run_the_pattern_once_and_take_marks_for_text(spark):
+    texts = ["A1234567 then AB123456, 123456789.", "", None, "none", "\ufdd0A1234567\ufdd1 ä😀 123456789", "\ufdd1 x", "A1234567", "xA1234567 A1234567", "1 A1234567\n123456789"]
+    x = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(2)
+    for needs in (None, "[0-9]{6}"):
+        got = {r.i: [tuple(s) for s in r.s] for r in x.select("i", spans(F.col("t"), P.US_DRIVER_LICENSE, needs).alias("s")).collect()}
+        assert got == {i: [(*m.span(), m[0]) for m in python(P.US_DRIVER_LICENSE).finditer(t or "")] for i, t in enumerate(texts)}
+    plan = x.select(spans(F.col("t"), P.US_DRIVER_LICENSE).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+
+
 def test_analyze_keeps_columns_and_handles_nulls(spark):
     df = spark.createDataFrame([(1, "a@b.co", "en", 9), (2, None, None, 8), (3, "", "xx", 7)], "doc_id int, text string, lang string, start int")
     out = analyze(df, language="lang")
