@@ -82,6 +82,8 @@ class Engine:
 
         self.config, self.rank = config, {r.name: i for i, r in enumerate(recognizers)}
         self.recognizers = [(r, compiled(r), PROCEDURES[r.procedure] if r.procedure else r.fn) for r in recognizers]
+        #: The patterns, as one, of recognizers that have nothing else.
+        self.own = {id(r): "|".join(f"(?:{p[0]})" for p in r.patterns) for r, patterns, more in self.recognizers if patterns and more is None}
         self._by_language: dict[str, tuple[list, dict[str, tuple[str, ...]]]] = {}
         self.allow = frozenset(a.strip().lower() for a in config.allow)
         self.deny = [re.compile(re.escape(d), re.I) for d in dict.fromkeys(config.deny) if d]
@@ -97,16 +99,28 @@ class Engine:
             self._by_language[language] = chosen, words
         return self._by_language[language]
 
-    def guards(self, texts: pa.Array, languages: set[str]) -> dict[str, list[bool | None]]:
+    def guards(self, texts: pa.Array, languages: set[str]) -> dict[str | int, list[bool | None]]:
         """Which texts of a batch pass each guard of their languages' recognizers. Guards are RE2 texts, so Arrow's RE2 runs them
-        over the whole batch; one that RE2 refuses is left out, and `analyze` searches for it itself."""
-        found: dict[str, list[bool | None]] = {}
-        for guard in dict.fromkeys(r.needs for lang in languages for r, _, _ in self.speaking(lang)[0] if r.needs is not None):
-            try:
-                found[guard] = pc.match_substring_regex(texts, guard).to_pylist()
-            except pa.ArrowInvalid:
-                continue
-        return found
+        over the whole batch; one that RE2 refuses is left out, and `analyze` searches for it itself. Patterns are RE2 texts
+        too: those of a recognizer that has nothing else are run over the texts that pass its guard, so that Python's engine
+        meets only texts with matches."""
+        found: dict[str | int, pa.Array | None] = {}
+
+        def passed(name: str | int, pattern: str, among: pa.Array | None = None) -> pa.Array | None:
+            if name not in found:
+                try:
+                    hits = pc.match_substring_regex(texts if among is None else texts.filter(among), pattern)
+                    found[name] = hits if among is None else pc.replace_with_mask(pa.array([False] * len(texts)), pc.fill_null(among, False), hits)
+                except pa.ArrowInvalid:
+                    found[name] = None
+            return found[name]
+
+        for lang in languages:
+            for r, _, _ in self.speaking(lang)[0]:
+                first = None if r.needs is None else passed(r.needs, r.needs)
+                if id(r) in self.own:
+                    passed(id(r), self.own[id(r)], first)
+        return {name: hits.to_pylist() for name, hits in found.items() if hits is not None}
 
     def analyze_batch(self, texts: pa.Array, languages: list[str | None]) -> list[list[Finding]]:
         """Findings of each text of a batch."""
@@ -146,8 +160,8 @@ class Engine:
             out.append((s, e, score, entity, r.name))
         return out
 
-    def analyze(self, text: str | None, language: str | None = None, guards: dict[str, bool | None] | None = None) -> list[Finding]:
-        """guards: which guards the text passes, as far as that is known."""
+    def analyze(self, text: str | None, language: str | None = None, guards: dict[str | int, bool | None] | None = None) -> list[Finding]:
+        """guards: which guards the text passes, as far as that is known; by a recognizer's id, whether its patterns match."""
         if not text:
             return []
         cfg = self.config
@@ -160,6 +174,8 @@ class Engine:
                     seen[r.needs] = python(r.needs).search(text) is not None
                 if not seen[r.needs]:
                     continue
+            if seen.get(id(r)) is False:
+                continue
             try:
                 found += self._of(r, patterns, more, text, low)
             except Exception:

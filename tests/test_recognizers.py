@@ -229,3 +229,18 @@ def test_batches_find_what_single_texts_do():
     assert engine.analyze_batch(pa.array([], pa.string()), []) == []
     odd = Recognizer("Odd", ("ODD",), ("*",), ((r"b", 0.5),), needs=r"(?<=a)b")  # RE2 refuses it
     assert [len(f) for f in Engine([odd], AnalysisConfig()).analyze_batch(pa.array(["ab", "cb"]), ["en", "en"])] == [1, 0]
+
+
+def test_python_meets_only_texts_that_match(monkeypatch):
+    """A batch's texts without a match never reach Python's engine; two recognizers of one pattern keep their own guards."""
+    import pyarrow as pa
+
+    seen = []
+    found = Engine._of
+    monkeypatch.setattr(Engine, "_of", lambda self, r, patterns, more, text, low: seen.append((r.name, text)) or found(self, r, patterns, more, text, low))
+    date = [r for r in DEFAULT if r.name == "DateTimeRecognizer"]
+    texts = ["a 12-b, tel 030-77 may 2", "on 2024-05-06", None, "may I 1-2", "at 12:05"]
+    assert [len(f) for f in Engine(date, AnalysisConfig()).analyze_batch(pa.array(texts), ["en"] * 5)] == [0, 1, 0, 0, 1]
+    assert [t for _, t in seen] == ["on 2024-05-06", "at 12:05"]
+    two = [Recognizer(n, (n,), ("*",), (("b+", 0.5),), needs=n) for n in ("x", "y")]
+    assert [[f[4] for f in fs] for fs in Engine(two, AnalysisConfig(remove_conflicts=False)).analyze_batch(pa.array(["xb", "yb", "xyb", "b", "xy"]), ["en"] * 5)] == [["x"], ["y"], ["x", "y"], [], []]
