@@ -14,10 +14,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import BATCH_BYTES, bounded_batches  # noqa: F401
+
 #: ASCII white space of the word rule `[^\x20\x09-\x0D]+`.
 SPACE = " \t\n\x0b\x0c\r"
-#: Bytes of an Arrow batch: Spark's own bound is 64 MB, which JVM and Python both hold, more than once, for each task.
-BATCH_BYTES = 4 << 20
 #: Rows that a task writes at least, where the size of a table is known.
 TASK_ROWS = 2048
 _own_dir: dict[str, str] = {}
@@ -28,14 +28,6 @@ def ascii_lower(text: str) -> str:
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES: memory for a task then follows neither the
-    number of rows in a batch nor their mean length. A lower bound that the user has set stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))) > BATCH_BYTES:
-        spark.conf.set(key, f"{BATCH_BYTES}b")
-
-
 def few_tasks(df: DataFrame, rows: int | None) -> DataFrame:
     """df, of `rows` rows at most, by no more tasks than have TASK_ROWS each."""
     return df if rows is None else df.coalesce(rows // TASK_ROWS + 1)

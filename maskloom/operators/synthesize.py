@@ -137,8 +137,10 @@ def synthesize_texts(df, text: str = "text", findings: str = "findings", out: st
     import pyarrow as pa
     from pyspark.sql import types as T
 
+    from ..functions.arrow import bounded_batches
     from .resolve import merge_adjacent, resolve
 
+    bounded_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,8 +94,10 @@ def detokenize(requests: DataFrame, records: DataFrame, vault: DataFrame, policy
 def reveal(records: DataFrame, vault: DataFrame, out: str = "content") -> DataFrame:
     """records with `out`: tokens replaced by what they stand for, in one pass, longest first. Records without tokens are
     returned as they are; expired tokens stay. Replacement in JSON is inside string leaves, so values are escaped anew."""
+    from ..functions.arrow import bounded_batches
     from ..sources.formats import dumps, mapped
 
+    bounded_batches(records.sparkSession)
     maps = alive(vault).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("token", "cleartext"))).alias("_map"))
 
     @F.pandas_udf("string")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrow import bounded_batches
 from ..functions.dialect import python
 from ..operators.registry import Finding, Recognizer, Registry, compiled
 from ..operators.resolve import resolve, sort_findings
@@ -221,6 +222,7 @@ def _columns(findings: list[list[Finding]]) -> pa.Array:
 
 def analyze(df: DataFrame, text: str = "text", language: str | None = None, config: AnalysisConfig | None = None, registry: Registry | None = None, findings: str = "findings") -> DataFrame:
     """df, all columns kept, with `findings`. language: the column that holds it, if any."""
+    bounded_batches(df.sparkSession)
     config = config or AnalysisConfig()
     recognizers = (registry or Registry()).snapshot()
     wanted = {e.upper() for e in config.entities}

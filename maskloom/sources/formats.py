@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import bounded_batches
+
 # Fixed value: control sequences, operating system commands and two-character escapes.
 ESCAPES = r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)|\x1b[@-Z\\-_]"
 ALIASES = {"": "text", "text": "text", "json": "json", "pdf": "pdf", "auto": "auto", "ndjson": "ndjson", "jsonl": "ndjson", "json-lines": "ndjson", "logs": "logs", "log": "logs"}
@@ -108,6 +110,7 @@ def rebuilt(content: str | None, kind: str, new: dict[str, str]) -> str | None:
 
 def segments(df: DataFrame, keys: list[str], content: str, kind: Column) -> DataFrame:
     """keys, segment, text: a row per piece to analyse."""
+    bounded_batches(df.sparkSession)
 
     @F.pandas_udf("array<struct<segment:string,text:string>>")
     def split(c: pd.Series, k: pd.Series) -> pd.Series:
@@ -118,6 +121,7 @@ def segments(df: DataFrame, keys: list[str], content: str, kind: Column) -> Data
 
 def rebuild(df: DataFrame, content: str, kind: Column, new: str, out: str = "content") -> DataFrame:
     """df with `out`: `content` with the segments of the map column `new` replaced."""
+    bounded_batches(df.sparkSession)
 
     @F.pandas_udf("string")
     def join(c: pd.Series, k: pd.Series, n: pd.Series) -> pd.Series:
