@@ -1,4 +1,4 @@
-"""Evaluation: gold against predicted spans, in plain joins and aggregations.
+"""Evaluation: gold against predicted spans, in plain windows and aggregations.
 
 gold: corpus, doc_id, start, end, type. pred: engine, corpus, doc_id, start, end, type, score. Half-open spans; documents that
 only one side has are left out by `scored`.
@@ -6,10 +6,25 @@ only one side has are left out by `scored`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN = ("doc_id", "start", "end", "type")
+#: Bytes of input, as it is stored, for each of the partitions that spans are dealt to: a task's memory follows this, not the
+#: input. A row of a few bytes in a file takes a hundred in a sort or a hash table.
+STORED_BYTES = 4 << 20
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df in partitions by keys, as many as its sources ask for."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    stored = sum(n for n in sizes if n < 1 << 60)  # above: Spark doesn't know
+    spark = df.sparkSession
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(max(least, -(-stored // STORED_BYTES)), *keys)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -36,11 +51,21 @@ def scored(gold: DataFrame, pred_docs: DataFrame) -> DataFrame:
     return gold.join(pred_docs.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+def overlapped(spans: DataFrame, others: DataFrame, *keys: str) -> DataFrame:
+    """spans with `met`: one of the others with equal keys overlaps. It does if the latest end of those that start before the
+    span's end lies behind the span's start: one shuffle, one sort and a running maximum, also where many overlap."""
+    a = spans.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("end").alias("_at"), F.lit(0).alias("_other"), F.lit(None).cast("long").alias("_end"), F.struct(*spans.columns).alias("_row"))
+    known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in (*keys, "start")])
+    b = others.where(known).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start").alias("_at"), F.lit(1).alias("_other"), F.col("end").alias("_end"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
+    by = [f"_{k}" for k in keys]
+    w = Window.partitionBy(*by).orderBy("_at", "_other").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = dealt(a.unionByName(b), *by).withColumn("_last", F.max("_end").over(w)).where("_other = 0")
+    return x.select("_row.*", F.coalesce(F.col("_last") > F.col("_row.start"), F.lit(False)).alias("met"))
+
+
 def leaked(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """gold with `leaked`: no prediction overlaps. An equi-join on the document, the overlap as its condition."""
-    p = pred.select(F.col("doc_id").alias("p_doc"), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    hit = gold.join(p, (F.col("doc_id") == F.col("p_doc")) & (F.col("start") < F.col("p_end")) & (F.col("end") > F.col("p_start")), "left_semi")
-    return hit.withColumn("leaked", F.lit(False)).unionByName(gold.join(p, (F.col("doc_id") == F.col("p_doc")) & (F.col("start") < F.col("p_end")) & (F.col("end") > F.col("p_start")), "left_anti").withColumn("leaked", F.lit(True)))
+    """gold with `leaked`: no prediction overlaps."""
+    return overlapped(gold, pred, "doc_id").withColumn("leaked", ~F.col("met")).drop("met")
 
 
 def leak_rate(leaks: DataFrame, *by: str) -> DataFrame:
@@ -58,43 +83,44 @@ def _scores(tp: Column, fp: Column, fn: Column) -> list[Column]:
     return [tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1")]
 
 
-def strict(gold: DataFrame, pred: DataFrame, *by: str) -> DataFrame:
-    """Equal document, span and type: a full outer join of the distinct sets."""
-    g = gold.select(*SPAN).distinct().withColumn("g", F.lit(1))
-    p = pred.select(*SPAN).distinct().withColumn("p", F.lit(1))
-    x = g.join(p, list(SPAN), "full_outer")
+def _sides(gold: DataFrame, pred: DataFrame, *keys: str) -> DataFrame:
+    """The distinct keys of both, with `g` and `p`: on which side they are. Keys of both sides meet in one aggregation, dealt
+    out before it, since rows that are mostly distinct gain nothing from a first one before the shuffle."""
+    one = lambda df, g: df.select(*keys, F.lit(g).alias("g"), F.lit(not g).alias("p"))
+    return dealt(one(gold, True).unionByName(one(pred, False)), *keys).groupBy(*keys).agg(F.max("g").alias("g"), F.max("p").alias("p"))
+
+
+def _counted(sides: DataFrame, *by: str) -> DataFrame:
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    tp, fp, fn = n(F.col("g").isNotNull() & F.col("p").isNotNull()), n(F.col("g").isNull()), n(F.col("p").isNull())
-    return x.groupBy(*by).agg(tp.alias("a"), fp.alias("b"), fn.alias("c")).select(*by, *_scores(F.col("a"), F.col("b"), F.col("c")))
+    g, p = F.col("g"), F.col("p")
+    return sides.groupBy(*by).agg(n(g & p).alias("a"), n(~g).alias("b"), n(~p).alias("c")).select(*by, *_scores(F.col("a"), F.col("b"), F.col("c")))
 
 
-def partial(gold: DataFrame, pred: DataFrame, typed: bool = True) -> DataFrame:
-    """Any overlap counts (with equal types, if typed): recall over gold, precision over predictions."""
+def strict(gold: DataFrame, pred: DataFrame, *by: str) -> DataFrame:
+    """Equal document, span and type, over the distinct sets."""
+    return _counted(_sides(gold, pred, *SPAN), *by)
 
-    def met(a: DataFrame, b: DataFrame) -> DataFrame:
-        x = b.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("type").alias("t"))
-        cond = (F.col("doc_id") == F.col("d")) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s"))
-        return a.join(x, cond & (F.col("type") == F.col("t")) if typed else cond, "left_semi")
 
-    g, p = gold.select(*SPAN).distinct(), pred.select(*SPAN).distinct()
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    x = one(g, "gold").join(one(p, "pred")).join(one(met(g, p), "found")).join(one(met(p, g), "right"))  # four single rows
+def partial(gold: DataFrame, pred: DataFrame, typed: bool = True) -> DataFrame:
+    """Any overlap counts (with equal types, if typed): recall over gold, precision over predictions."""
+    sides, keys = _sides(gold, pred, *SPAN), ("doc_id", "type") if typed else ("doc_id",)
+    g, p = sides.where("g").select(*SPAN), sides.where("p").select(*SPAN)
+    n = lambda a, b, size, met: overlapped(a, b, *keys).agg(F.count("*").alias(size), F.coalesce(F.sum(F.col("met").cast("long")), F.lit(0)).alias(met))
+    x = n(g, p, "gold", "found").join(n(p, g, "pred", "right"))  # two single rows
     pr, rc = ratio(F.col("right").cast("double"), F.col("pred")), ratio(F.col("found").cast("double"), F.col("gold"))
     return x.select("gold", "pred", "found", "right", pr.alias("precision"), rc.alias("recall"), f1(pr, rc).alias("f1"))
 
 
 def type_only(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Documents and types alone: which kinds a document holds."""
-    g, p = (x.select("doc_id", "type").distinct() for x in (gold, pred))
-    x = g.withColumn("g", F.lit(1)).join(p.withColumn("p", F.lit(1)), ["doc_id", "type"], "full_outer")
-    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    return x.agg(n(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("a"), n(F.col("g").isNull()).alias("b"), n(F.col("p").isNull()).alias("c")).select(*_scores(F.col("a"), F.col("b"), F.col("c")))
+    return _counted(_sides(gold, pred, "doc_id", "type"))
 
 
 def rollup(leaks: DataFrame, corpora: DataFrame) -> DataFrame:
-    """Pooled leak by all, domain, language, and both: grouping sets in one pass. corpora: corpus, domain, language."""
-    x = leaks.join(corpora, "corpus")
-    g = x.groupingSets([[], ["domain"], ["language"], ["domain", "language"]], "domain", "language").agg(F.grouping_id().alias("level"), F.count("*").alias("gold"), F.sum(F.col("leaked").cast("long")).alias("leaked"))
+    """Pooled leak by all, domain, language, and both: grouping sets over the sums of corpora. corpora: corpus, domain,
+    language."""
+    x = leaks.groupBy("corpus").agg(F.count("*").alias("n"), F.sum(F.col("leaked").cast("long")).alias("n_leaked")).join(corpora, "corpus")
+    g = x.groupingSets([[], ["domain"], ["language"], ["domain", "language"]], "domain", "language").agg(F.grouping_id().alias("level"), F.sum("n").alias("gold"), F.sum("n_leaked").alias("leaked"))
     return g.withColumn("leak_rate", ratio(F.col("leaked").cast("double"), F.col("gold")))
 
 

@@ -236,6 +236,38 @@ def test_evaluation_small(spark):
     assert E.scored(gold, pred).count() == 2
 
 
+def test_overlaps_against_brute_force(spark):
+    """Ties at the edges, empty spans, nulls, keys of one side alone, equal rows."""
+    import random
+
+    rng = random.Random(5)
+    pick = lambda top: None if rng.random() < 0.04 else rng.randrange(top)
+    a, b = ([(pick(6), pick(30), pick(30), rng.choice(["A", "B", None])) for _ in range(300)] for _ in range(2))
+    b = b[:60]
+    frames = [spark.createDataFrame(x, "doc_id long, start long, end long, type string") for x in (a, b)]
+    known = lambda *v: None not in v
+    for keys, at in ((("doc_id",), (0,)), (("doc_id", "type"), (0, 3))):
+        want = [(*x, any(known(*x[:3], *y[:3], *(x[i] for i in at)) and all(x[i] == y[i] for i in at) and x[1] < y[2] and x[2] > y[1] for y in b)) for x in a]
+        got = [tuple(r) for r in E.overlapped(*frames, *keys).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str) and 50 < sum(x[4] for x in want) < 250
+
+
+def test_evaluation_deals_out_by_the_size_of_its_sources(spark, monkeypatch):
+    """Partitions grow with the input and no row meets another side's in a join; results stay."""
+    import pathlib
+
+    want = {name: QUERIES[name](spark, SF).collect() for name in ("eval_strict", "eval_rollup", "eval_precision_excl", "eval_partial", "eval_type_only")}
+    stored = sum(f.stat().st_size for f in pathlib.Path(SF).glob("lineitem.parquet*"))
+    monkeypatch.setattr(E, "STORED_BYTES", stored // 16)
+    x = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert E.dealt(x, "l_orderkey").rdd.getNumPartitions() >= 16 and E.dealt(x.union(x), "l_orderkey").rdd.getNumPartitions() >= 32
+    for name, rows in want.items():
+        df = QUERIES[name](spark, SF)
+        assert sorted(map(str, df.collect())) == sorted(map(str, rows))
+        assert "SortMergeJoin [doc_id" not in df._jdf.queryExecution().sparkPlan().toString() and "ShuffledHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+    assert E.dealt(spark.createDataFrame([(1,)], "doc_id long"), "doc_id").rdd.getNumPartitions() == 4
+
+
 def test_sql_functions(spark):
     from maskloom.functions.sql import register
 
