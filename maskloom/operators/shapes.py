@@ -30,6 +30,10 @@ CLINICAL = r"(?i)^\s*(?:servicio|servei|unidad|unitat|[áa]rea|secci[oó]n|depar
 CLINICAL_CENTRE = r"(?i)^\s*centro(?:\s+de\s+salud)?\s*$"
 FUZZY = ("PERSON", "ORGANIZATION", "LOCATION", "NRP", "PROFESSION", "AGE")
 NOT_NAMES = frozenset("i you we he she it they sie wir er es please kindly hello hi thanks regards dear use check contact note attention all child children student students parent parents client clients customer customers user users member members caller applicant guest tenant subscriber vendor male female".split())
+#: What tokens are made of, and (for Java) the tokens of a text that can have a shape: all but words of up to 15 letters,
+#: maybe with a full stop, which are nearly all and have none.
+TOKEN = "A-Za-z0-9_.@+/=-"
+TOKENS = rf"(?<![{TOKEN}])(?![A-Za-z]{{1,15}}+\.?(?![{TOKEN}]))[{TOKEN}]++"
 #: (shape, and also, and not)
 _RULES = [*((s, None, None) for s in SHAPES.values()), (BASE64, BASE64_SIGN, None), (MODEL_LOOSE, DIGIT, None), (SNAKE, None, SNAKE_NAME)]
 
