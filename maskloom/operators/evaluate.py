@@ -15,6 +15,9 @@ SPAN = ("doc_id", "start", "end", "type")
 #: Bytes of input, as it is stored, for each of the partitions that spans are dealt to: a task's memory follows this, not the
 #: input. A row of a few bytes in a file takes a hundred in a sort or a hash table.
 STORED_BYTES = 4 << 20
+#: The same where that makes more partitions than Spark's writers deal out without a sort of their own (200): such a sort holds
+#: all rows of a map task, so partitions grow first.
+MOST_STORED_BYTES = 64 << 20
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
@@ -24,7 +27,9 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     stored = sum(n for n in sizes if n < 1 << 60)  # above: Spark doesn't know
     spark = df.sparkSession
     least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(max(least, -(-stored // STORED_BYTES)), *keys)
+    unsorted = int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    n = max(least, min(-(-stored // STORED_BYTES), max(unsorted, -(-stored // MOST_STORED_BYTES))))
+    return df.repartition(n, *keys)
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -280,6 +280,10 @@ def test_evaluation_deals_out_by_the_size_of_its_sources(spark, monkeypatch):
         assert sorted(map(str, df.collect())) == sorted(map(str, rows))
         assert "SortMergeJoin [doc_id" not in df._jdf.queryExecution().sparkPlan().toString() and "ShuffledHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
     assert E.dealt(spark.createDataFrame([(1,)], "doc_id long"), "doc_id").rdd.getNumPartitions() == 4
+    monkeypatch.setattr(E, "STORED_BYTES", 1)
+    assert E.dealt(x, "l_orderkey").rdd.getNumPartitions() == 200  # more would be sorted by the writers
+    monkeypatch.setattr(E, "MOST_STORED_BYTES", stored // 300)
+    assert E.dealt(x, "l_orderkey").rdd.getNumPartitions() >= 300
 
 
 def test_sql_functions(spark):
